@@ -1,0 +1,110 @@
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from palimpsest.llm import packing
+from palimpsest.llm.queries import op7_packing
+
+from .fixtures import SCHEMA, awkward, edge_texts
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
+def test_ids_as_by_the_tokenizer(tokenizer):
+    tokens = packing.Tokens(tokenizer.to_str())
+    texts = edge_texts() + ["don't it's    Á ́x <|endoftext|> a<|startoftext|>b", "tab\tand\r\nlines\x0b\x0c\x85  ends ", " ", "ΑΣ ΑΣΑ İ", "1234 5,6.7"]
+    for t in texts:
+        assert tokens(t).tolist() == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+
+
+def test_the_memory_of_words_is_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
+    tokens = packing.Tokens(tokenizer.to_str())
+    for t in ["a b c d", "e f g", "a b h i j k l m n o p", "a"]:
+        assert tokens(t).tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+
+
+def _whole(pieces, lengths, window):
+    """Every token in one piece, every sequence gapless, full or a power of two."""
+    of, seq = defaultdict(list), defaultdict(list)
+    for d, start, n, s, o in pieces:
+        assert n > 0
+        of[d].append((start, n))
+        seq[s].append((o, n))
+    for d, n in enumerate(lengths):
+        at = 0
+        for start, k in sorted(of[d]):
+            assert start == at
+            at += k
+        assert at == n
+    for parts in seq.values():
+        at = 0
+        for o, k in sorted(parts):
+            assert o == at
+            at += k
+        assert at == window or (at < window and at & (at - 1) == 0)
+    return len(seq)
+
+
+def test_pack_without_gaps_or_padding():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 300):
+        docs = [rng.integers(0, 400, rng.integers(1, 300)).astype("<u4") for _ in range(n)] + [rng.integers(0, 400, 5000).astype("<u4")]
+        _whole(packing.pack(docs, 128), [len(d) for d in docs], 128)
+
+
+def test_scores_are_bm25():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 60, rng.integers(1, 40)) for _ in range(30)]
+    index, mean = packing.Index(docs), np.mean([len(d) for d in docs])
+    for q in range(30):
+        want = []
+        for d in docs:
+            total = 0.0
+            for t in set(docs[q].tolist()):
+                df, tf = sum(t in x for x in docs), (d == t).sum()
+                total += max(0.0, np.log((30 - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+            want.append(total)
+        assert np.allclose(index.scores(q), want)
+
+
+def test_windows_hold_a_seed_and_its_nearest_neighbours():
+    rng = random.Random(3)
+    docs = [np.array([100 * topic + rng.randrange(100) for _ in range(32)], "<u4") for _ in range(16) for topic in range(4)]
+    topics = [i % 4 for i in range(64)]
+    seq = defaultdict(set)
+    for d, _, _, s, _ in packing.pack(docs, 128):
+        seq[s].add(topics[d])
+    assert sum(len(t) == 1 for t in seq.values()) == len(seq)
+
+
+def test_rows_of_awkward_tables(spark, tokenizer):
+    texts = edge_texts()
+    docs = awkward(spark, texts + texts)
+    rows = packing.packed(docs, PATH, keep=["doc_id", "row"]).select("row.doc_id", "row.row", "start", "length", "sequence_id", "offset", "ids", "doc_tokens").collect()
+    lengths = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts + texts]
+    _whole([(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in rows], lengths, 2048)
+    for r in rows:
+        ids = [*tokenizer.encode((texts + texts)[r.doc_id] or "", add_special_tokens=False).ids, 1]
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids[r.start : r.start + r.length] and r.doc_tokens == len(ids)
+    assert packing.packed(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_query_on_the_table(spark, sf_dir, tokenizer, monkeypatch):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    ids = {d: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for d, t in texts.items()}
+    rows = op7_packing(spark, sf_dir).collect()
+    order = sorted(texts)
+    _whole([(order.index(r.doc_id), r.start, r.length, r.sequence_id, r.offset) for r in rows], [len(ids[d]) for d in order], 2048)
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])

@@ -1,0 +1,158 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from palimpsest.llm import simhash
+from palimpsest.llm.components import connected_components
+from palimpsest.llm.queries import op2_simhash_near_dedup
+
+from .fixtures import SCHEMA, awkward, edge_texts
+
+
+def shingles(text, k):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words, now = [], ""
+    for c in text + " ":
+        if c == " " or "\x09" <= c <= "\x0d":
+            words, now = words + [now] if now else words, ""
+        else:
+            now += c
+    return [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+
+
+def brute_print(text, k=3):
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(text, k)]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def components(n, linked):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(n)]
+
+
+def _check(rows, texts):
+    prints = [brute_print(t) for t in texts]
+    want = components(len(texts), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
+    for r in rows:
+        assert r.print % (1 << 64) == prints[r.id] and r.component_id == want[r.id], texts[r.id]
+
+
+def _edited(seed, n, base):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        words = base.split()
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = rng.choice("alpha beta gamma delta".split())
+        out.append(" ".join(words))
+    return out
+
+
+LONG = " ".join(f"w{i * 7919 % 1000}" for i in range(400))
+
+
+def test_groups_as_by_brute_force(spark):
+    texts = edge_texts() + _edited(1, 120, LONG) + _edited(2, 40, "the cat sat on the mat and saw a dog")
+    _check(simhash.simhash_groups(awkward(spark, texts)).collect(), texts)
+
+
+def test_large_upper_nodes_are_divided_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MANY", 3)
+    texts = _edited(3, 80, LONG)
+    _check(simhash.simhash_groups(awkward(spark, texts)).collect(), texts)
+
+
+def test_query_on_the_table(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    prints = [brute_print(t) for t in texts]
+    want = components(len(texts), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
+    rows = op2_simhash_near_dedup(spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in rows) == [(i, f"{p:016x}", want[i]) for i, p in enumerate(prints)]
+
+
+@pytest.mark.parametrize("width", [1, 2])
+def test_the_tree_finds_all_pairs(width):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (20, width), dtype=np.uint64)
+    prints = base[rng.integers(0, 20, 700)].copy()
+    for row in prints:
+        for _ in range(rng.integers(0, 6)):
+            row[rng.integers(0, width)] ^= np.uint64(1) << np.uint64(rng.integers(0, 64))
+    prints = prints[np.argsort(simhash.gray_rank(prints[:, 0]), kind="stable")]
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    for radius in (0, 2, 5):
+        want = {(int(i), int(j)) for i, j in zip(*np.nonzero(apart <= radius), strict=True) if i < j}
+        got = [(int(a), int(b)) for i, j in simhash.GrayTree(prints).pairs(radius) for a, b in zip(i, j, strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_gray_rank_inverts_the_gray_code():
+    n = np.arange(5000, dtype=np.uint64)
+    assert (simhash.gray_rank(n ^ (n >> np.uint64(1))) == n).all()
+
+
+def _jaccard(a, b):
+    return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+
+def test_near_duplicates_as_by_brute_force(spark):
+    texts = edge_texts() + _edited(5, 60, LONG) + [f"{LONG[: 900 + 40 * i]} {LONG[1200 - 30 * i :]}" for i in range(12)]
+    sets = [set(shingles(t, 5)) for t in texts]
+    want = components(len(texts), lambda i, j: _jaccard(sets[i], sets[j]) >= 0.8)
+    docs = awkward(spark, texts)
+    rows = simhash.near_duplicates(docs, recall=0.9999).collect()
+    assert sorted((r.id, r.keep_id, r.kept) for r in rows) == [(i, w, i == w) for i, w in enumerate(want)]
+    kept = simhash.deduplicated(docs, recall=0.9999)
+    assert kept.columns == docs.columns and kept.count() == len(set(want))
+
+
+def test_near_duplicates_on_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    sets = [set(shingles(t, 5)) for t in texts]
+    similar = lambda i, j: min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and _jaccard(sets[i], sets[j]) >= 0.8
+    want = components(len(texts), similar)
+    got = {r.id: r.keep_id for r in simhash.near_duplicates(docs).collect()}
+    wrong = [i for i, w in enumerate(want) if got[i] != w]
+    assert len(wrong) <= 0.01 * sum(i != w for i, w in enumerate(want)) + 1
+
+
+def test_large_groups_are_compared_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 2_000)
+    texts = _edited(6, 50, LONG)
+    sets = [set(shingles(t, 5)) for t in texts]
+    want = components(len(texts), lambda i, j: _jaccard(sets[i], sets[j]) >= 0.8)
+    rows = simhash.near_duplicates(awkward(spark, texts), recall=0.9999).collect()
+    assert sorted((r.id, r.keep_id) for r in rows) == list(enumerate(want))
+
+
+def test_repeated_rows_null_identifiers_and_empty_tables(spark):
+    rows = [(7, LONG), (7, LONG), (None, LONG), (3, None), (None, None), (9, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.id), r.component_id) for r in simhash.simhash_groups(docs).collect())
+    assert got == [("3", 3), ("7", 7), ("7", 7), ("9", 9), ("None", 3), ("None", 7)]
+    kept = simhash.deduplicated(docs).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == [("7", LONG), ("9", "other")] and len(kept) == 3
+    empty = spark.createDataFrame([], SCHEMA)
+    assert simhash.simhash_groups(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
+
+
+def test_connected_components(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 500)] + [(600, 600), (5, 5)]
+    root = components(601, lambda i, j: (i, j) in s or (j, i) in s) if (s := set(edges)) else []
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((x, root[x]) for x in {x for e in edges for x in e})
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
