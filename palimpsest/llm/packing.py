@@ -9,8 +9,10 @@ whose lengths are powers of two and need no padding either.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +29,58 @@ SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 20
 #: The token after each document.
 END = 1
 K1, B = 1.2, 0.75
-#: Distinct words whose tokens a worker remembers at a time: about 60 MB.
-REMEMBERED = 300_000
+#: Distinct parts of words whose tokens a worker remembers at a time: about 100 MB.
+REMEMBERED = 500_000
+
+# Fixed values of the tokenizer file: how text is divided, here for Latin-1, and which characters stand for bytes.
+_LATIN = re.compile("[\t-\r -~\u00a1-\u00ac\u00ae-\u00ff]*")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\t-\r a-z0-9\u00aa\u00b5\u00ba\u00b2\u00b3\u00b9\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff]+")
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+class _Parts(dict):
+    """The tokens of parts of words; those of a new part are asked of the tokenizer's model."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        signs = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        self[part] = ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+        return ids
 
 
 class Tokens:
-    """Token ids of texts. Text between blanks is tokenised on its own, as no token crosses them, and remembered."""
+    """Token ids of texts. A text in Latin-1 is divided into parts, which are looked up; no token crosses them. In any other text
+    the same holds for each stretch between blanks, and stretches beyond Latin-1 go through the whole tokenizer."""
 
     def __init__(self, model: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.known: dict[str, bytes] = {}
+        self.parts = _Parts(self.tokenizer.model)
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").replace("\n", " ").split(" ")
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]) + END.to_bytes(4, "little"), "<u4")
+        return np.frombuffer(self._ids(text or "") + END.to_bytes(4, "little"), "<u4")
+
+    def _ids(self, text: str) -> bytes:
+        if _LATIN.fullmatch(text) and not any(m in text for m in self.marks):
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
+        if " " in text:
+            return b"".join(map(self._ids, text.split(" ")))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+@lru_cache(maxsize=1)
+def remembering(model: str) -> Tokens:
+    """The worker's tokens of a tokenizer file; a worker keeps its memory from task to task."""
+    return Tokens(model)
 
 
 class Index:
@@ -170,7 +199,7 @@ def packed(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: list[s
     schema = T.StructType([sent.schema["row"], *T._parse_datatype_string(_OUT).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sequences = Tokens(model.value), TaskContext.get().partitionId() << 33
+        tokens, sequences = remembering(model.value), TaskContext.get().partitionId() << 33
         rows: list[pa.Array] = []
         shard: list[np.ndarray] = []
         size = 0

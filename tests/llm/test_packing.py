@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from palimpsest.llm import packing
 from palimpsest.llm.queries import op7_packing
 
-from .fixtures import SCHEMA, awkward, edge_texts
+from .fixtures import SCHEMA, awkward, edge_texts, fuzz
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,6 +23,7 @@ def tokenizer():
 def test_ids_as_by_the_tokenizer(tokenizer):
     tokens = packing.Tokens(tokenizer.to_str())
     texts = edge_texts() + ["don't it's    Á ́x <|endoftext|> a<|startoftext|>b", "tab\tand\r\nlines\x0b\x0c\x85  ends ", " ", "ΑΣ ΑΣΑ İ", "1234 5,6.7"]
+    texts += fuzz(1, "aAbéÉßµªº²½×÷ '!s.t-1\n", 2000, 30) + ["".join(map(chr, range(i, i + 64))) for i in range(0, 768, 64)] + [chr(c) + "a" + chr(c) + "1" + chr(c) for c in range(1, 600)]
     for t in texts:
         assert tokens(t).tolist() == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
 
