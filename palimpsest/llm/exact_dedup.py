@@ -7,7 +7,10 @@ Every further hit is then checked byte for byte against the located content. All
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, work_dir, written
@@ -17,6 +20,12 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Rows of a group that one copy of the kept text is compared with in one task.
 ROWS_A_SALT = 2048
 
+#: Let Spark filter the texts by the smaller side of their join, however large the tables are.
+_FILTERED = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB",
+}
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -25,6 +34,19 @@ _STATE = {
 }
 
 
+@contextmanager
+def _settings(spark: SparkSession, changed: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a while."""
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def normalised(text: Column) -> Column:
     return F.translate(text_or_empty(text), BLANKS, "")
 
@@ -42,10 +64,7 @@ def _fold(rows: DataFrame, *keys: str) -> DataFrame:
 def _state_of(content: DataFrame, path: str, folder: str) -> DataFrame:
     """Run the content table through the keyed state; returns the state's rows, one for each digest."""
     spark, table = content.sparkSession, f"{folder}/groups"
-    before = {k: spark.conf.get(k, None) for k in _STATE}
-    for k, v in _STATE.items():
-        spark.conf.set(k, v)
-    try:
+    with _settings(spark, _STATE):
         arriving = spark.readStream.schema(content.schema).parquet(path).select("digest", "id", "points", "locator")
         schema = _fold(content, "digest").schema
         query = (
@@ -55,9 +74,6 @@ def _state_of(content: DataFrame, path: str, folder: str) -> DataFrame:
             .start()
         )
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if query.lastProgress is None or not query.recentProgress or all(p["numInputRows"] == 0 for p in query.recentProgress):
         return spark.createDataFrame([], schema)
     changed = spark.read.schema(schema.add("batch", "long")).parquet(table)
@@ -66,6 +82,22 @@ def _state_of(content: DataFrame, path: str, folder: str) -> DataFrame:
     return changed.select("digest", "group_size", "best")
 
 
+def _unequal(content: DataFrame, many: DataFrame, path: str) -> DataFrame:
+    """The digests of groups in which some text differs from the one that stays, byte for byte.
+
+    Only texts of groups with several rows need to move: a Bloom filter of those groups' digests keeps the others where they
+    are. The text that stays is copied for every ROWS_A_SALT rows of its group.
+    """
+    moved = content.join(many, "digest")
+    stays = F.col("locator") == F.col("best.locator")
+    salts = F.ceil(F.col("group_size") / ROWS_A_SALT).cast("int")
+    hits = moved.where(~stays).select("digest", F.pmod(F.hash("locator"), salts).alias("salt"), "body")
+    located = moved.where(stays).select("digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("body").alias("located"))
+    unequal = hits.join(located, ["digest", "salt"]).where("body <> located").select("digest").distinct()
+    with _settings(content.sparkSession, _FILTERED):
+        return written(unequal, path)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
     """For every row of `docs`: `row` (all its columns), `id`, `keep_id`, `group_size`, `kept`, `text_sha256`.
 
@@ -84,14 +116,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = _state_of(content, f"{folder}/content", folder)
 
     linked = content.join(groups, "digest")
-    body = normalised(F.col(f"row.{text_col}")).cast("binary").alias("body")
-    salts = F.ceil(F.col("group_size") / ROWS_A_SALT).cast("int")
     stays = F.col("locator") == F.col("best.locator")
-    many = linked.where(F.col("group_size") > 1)
-    hits = many.where(~stays).select("digest", F.pmod(F.hash("locator"), salts).alias("salt"), body)
-    located = many.where(stays).select("digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), body.alias("located"))
-    unequal = hits.join(located, ["digest", "salt"]).where(F.col("body") != F.col("located")).select("digest").distinct()
-    unequal = written(unequal, f"{folder}/unequal")
+    body = normalised(F.col(f"row.{text_col}")).cast("binary").alias("body")
+    unequal = _unequal(content.select("digest", "locator", body), groups.where("group_size > 1"), f"{folder}/unequal")
 
     out = [F.col("id"), F.col("best.id").alias("keep_id"), "group_size", stays.alias("kept"), "text_sha256"]
     if unequal.isEmpty():
