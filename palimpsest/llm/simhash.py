@@ -32,6 +32,9 @@ MANY = 20_000
 #: Shingles in one block of a candidate group; a group of several blocks is compared block by block, two in a task.
 BLOCK = 500_000
 
+#: Masks whose links are connected before the other masks' links are sought.
+FIRST_MASKS = 8
+
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -191,8 +194,7 @@ def _links(groups: np.ndarray, names: np.ndarray, prints: np.ndarray, radius: in
 def index_links(dealt: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) that connect all rows of `dealt` (node: long, prints: array<long>, bucket: long) which share a bucket and differ
     in at most `radius` bits. Of the links within a task only those that join two trees leave it, so their number is linear."""
-    width = "prints"
-    sorted_rows = dealt.select("bucket", "node", *[F.col(width)]).withColumn("rank", _rank_column(F.col("prints")[0])).repartition("bucket").sortWithinPartitions("bucket", "rank")
+    sorted_rows = dealt.select("bucket", "node", "prints").repartition("bucket").withColumn("rank", _rank_column(F.col("prints")[0])).sortWithinPartitions("bucket", "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held = Forest(), None
@@ -311,27 +313,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     folder = work_dir(spark, "near-duplicates")
-    named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), F.monotonically_increasing_id().alias("at"))
+    named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.monotonically_increasing_id().alias("at"))
     named = written(named, f"{folder}/rows")
+    texts = named.select("id", "at", F.col(f"row.{text_col}").cast("string").alias("text"))
     wide = T._parse_datatype_string(_WIDE)
-    rows = written(map_texts(named, "text", lambda: _wide_column(words), wide, ["id", "at"]).select("row.*", "out.*"), f"{folder}/prints")
+    rows = written(map_texts(texts, "text", lambda: _wide_column(words), wide, ["id", "at"]).select("row.*", "out.*"), f"{folder}/prints")
     same = ["prints", "size", "sum"]
     sets = written(rows.groupBy(*same).agg(F.min("at").alias("node")), f"{folder}/sets")
 
     masks = recall_masks(sets.count(), similarity, 128, recall)
-    halves = [[sum(1 << (b - 64 * w) for b in m if b // 64 == w) for w in (0, 1)] for m in masks]
-    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x)
-    buckets = F.array(*[F.xxhash64(F.lit(i), *[F.col("prints")[w].bitwiseAND(signed(x)) for w, x in enumerate(h)]) for i, h in enumerate(halves)])
-    proposed = connected_components(index_links(sets.select("node", F.explode(buckets).alias("bucket"), "prints"), radius_of(similarity, 128)))
-    proposed = written(proposed, f"{folder}/proposed")
+    proposed = written(_proposed(sets, masks, radius_of(similarity, 128)), f"{folder}/proposed")
 
     sized = proposed.join(sets.select("node", "size"), "node")
     sizes = sized.groupBy("root").agg(F.ceil((F.sum("size") + 1) / BLOCK).alias("blocks"))
     mine = F.pmod(F.hash("node"), F.col("blocks"))
     with_each = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda y: F.struct(F.least(mine, y).alias("x"), F.greatest(mine, y).alias("y")))).alias("pair")
     compared = proposed.join(sizes, "root").select("node", "root", with_each).select("node", F.xxhash64("root", "pair").alias("group"))
-    texts = named.select(F.col("at").alias("node"), "text")
-    groups = connected_components(_verified(compared.join(texts, "node"), words, similarity))
+    groups = connected_components(_verified(compared.join(texts.select(F.col("at").alias("node"), "text"), "node"), words, similarity))
 
     placed = rows.join(sets, same).select("at", "id", "node").join(groups, "node", "left").select("at", "id", F.coalesce("root", "node").alias("root"))
     placed = written(placed, f"{folder}/placed")
@@ -340,6 +338,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.join(decided, "at").select("row", "id", "keep_id", "kept")
 
 
+def _proposed(sets: DataFrame, masks: list[list[int]], radius: int) -> DataFrame:
+    """(node, root) of the nodes that links under any of the masks connect.
+
+    The first masks connect large groups of close texts; under the others a node goes by its root, so that links within what is
+    connected already are not made again for every mask.
+    """
+    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x)
+    halves = [[sum(1 << (b - 64 * w) for b in m if b // 64 == w) for w in (0, 1)] for m in masks]
+    buckets = [F.xxhash64(F.lit(i), *[F.col("prints")[w].bitwiseAND(signed(x)) for w, x in enumerate(h)]) for i, h in enumerate(halves)]
+    dealt = lambda rows, some: rows.select("node", F.explode(F.array(*some)).alias("bucket"), "prints")
+    folder = work_dir(sets.sparkSession, "proposed")
+    first = written(connected_components(index_links(dealt(sets, buckets[:FIRST_MASKS]), radius)), f"{folder}/first")
+    rooted = sets.join(first, "node", "left").select(F.coalesce("root", "node").alias("node"), "prints")
+    then = written(connected_components(index_links(dealt(rooted, buckets[FIRST_MASKS:]), radius)), f"{folder}/then")
+    lifted = first.join(then.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return lifted.unionByName(then.join(first, "node", "left_anti"))
+
+
 def _verified(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b) that connect the rows of each group (node, group, text) whose shingle sets are similar enough, compared exactly."""
 
