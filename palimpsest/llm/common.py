@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,21 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_dir
+
 #: Bytes of text that one vectorised step works on; its temporaries take about 60 times as much.
 STEP_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where the setting is missing, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def work_dir(spark: SparkSession, name: str) -> str:
     """A folder of this call's own in the shared folder. Results read from it lazily, so `cleanup` removes it, not the operator."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -41,11 +31,12 @@ def _made(spark: SparkSession) -> list[str]:
     return spark._palimpsest_work
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Remove the work folders of this session, once no result that reads from them is needed any more."""
+def cleanup(spark: SparkSession, name: str = "") -> None:
+    """Remove the work folders of this session, or those made under `name`, once no result that reads from them is needed any more."""
     made = _made(spark)
-    while made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(made.pop())
+    for gone in [p for p in made if p.rpartition("/")[2].startswith(name)]:
+        made.remove(gone)
+        path = spark._jvm.org.apache.hadoop.fs.Path(gone)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

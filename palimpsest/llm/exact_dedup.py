@@ -99,15 +99,16 @@ def _unequal(content: DataFrame, many: DataFrame, path: str) -> DataFrame:
         return written(unequal, path)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, folder: str | None = None) -> DataFrame:
     """For every row of `docs`: `row` (all its columns), `id`, `keep_id`, `group_size`, `kept`, `text_sha256`.
 
     Texts are equal when identical after deleting every blank of `BLANKS`; null counts as empty. Of equal texts the row with
     the most code points stays, then the one with the smallest identifier (null comes last); of rows that tie in both, such as
     repeated rows, exactly one stays. An empty table gives an empty result. Other columns, whatever their names, stay in `row`.
     `digest` may be any function of the normalised text: rows that collide in it are told apart by their full texts.
+    `folder` is a work folder on shared storage, which the result reads from.
     """
-    folder = work_dir(docs.sparkSession, "exact-dedup")
+    folder = folder or work_dir(docs.sparkSession, "exact-dedup")
     plain = normalised(docs[text_col])
     content = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.char_length(text_or_empty(docs[text_col])).alias("points"),
@@ -130,6 +131,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return sound.unionByName(exact.select("row", *out))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    return exact_dedup(docs, id_col, text_col).where("kept").select("row.*")
+    return exact_dedup(docs, id_col, text_col, **options).where("kept").select("row.*")

@@ -302,7 +302,7 @@ def _wide_column(words: int):
     return column
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.99, folder: str | None = None) -> DataFrame:
     """For every row: `row` (all its columns), `id`, `keep_id` and `kept`. Rows belong to one group when links of Jaccard similarity
     `similarity` or more between their sets of `words`-word shingles connect them; the smallest identifier of a group stays
     (null last; of rows that tie, exactly one).
@@ -310,9 +310,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     128-bit fingerprints in the index propose groups at a radius that nearly all such links keep within; then every group's
     shingle sets are compared exactly. `recall` is the least probability that a link at the very threshold is proposed; closer
     texts are proposed more surely, and equal shingle sets always. Texts without words, null among them, are equal.
+    `folder` is a work folder on shared storage, which the result reads from.
     """
     spark = docs.sparkSession
-    folder = work_dir(spark, "near-duplicates")
+    folder = folder or work_dir(spark, "near-duplicates")
     named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.monotonically_increasing_id().alias("at"))
     named = written(named, f"{folder}/rows")
     texts = named.select("id", "at", F.col(f"row.{text_col}").cast("string").alias("text"))
