@@ -158,12 +158,12 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         F.sha2(payload.cast("binary"), 256).alias("sha256"), F.octet_length(payload).alias("size"),
     )
     rows, n = _shards(rows, shard_bytes)
-    # Where payloads repeat, a note with the first identifier goes ahead of the records: only notes are joined, not payloads.
+    # More partitions than shards, so that few tasks get several. Where payloads repeat, a note with the first identifier goes ahead of the records: only notes are joined, not payloads.
     names = rows.select("page_id", "sha256", "shard")
     first = names.groupBy("sha256").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     notes = names.join(first, "sha256").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "sha256", "shard", "first_id", F.lit(0).alias("kind")).distinct()
     records = rows.select("page_id", "url", "payload", "sha256", "shard", F.lit(None).cast("long").alias("first_id"), F.lit(1).alias("kind"))
-    dealt = records.unionByName(notes).repartition(n, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "sha256", "kind", "url")
+    dealt = records.unionByName(notes).repartition(4 * n, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "sha256", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, writer, done, last, copy, noted, first_id = _Folder(folder), None, [], None, 0, False, None
@@ -229,7 +229,7 @@ def read_archive(spark: SparkSession, folder: str, payloads: bool = True) -> Dat
     schema = T._parse_datatype_string(_RECORD)
     if not shards:
         return spark.createDataFrame([], schema)
-    names = spark.createDataFrame([(s["manifest"],) for s in shards], "manifest string").repartition(len(shards), "manifest")
+    names = spark.createDataFrame([(s["manifest"],) for s in shards], "manifest string").repartition(4 * len(shards), "manifest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = pyarrow.fs.FileSystem.from_uri(folder)
