@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +25,10 @@ from .common import bounded_batches, text_or_empty
 
 #: Payload bytes of a shard, compressed bytes of a file, and ranges of identifiers whose sizes the driver sees.
 SHARD_BYTES, ROLL_BYTES, RANGES = 32 << 20, 8 << 20, 1 << 14
+#: What a record counts towards its shard besides its payload, so that a shard of empty payloads has an end too.
+RECORD_BYTES = 512
+#: Most tasks of a writer or reader; with more shards than that a task takes several, one after the other.
+TASKS = 1 << 15
 #: All records carry one date, so that equal input gives equal archives.
 DATE = "2020-01-01T00:00:00Z"
 #: Record identifiers are name-based in this space.
@@ -77,7 +82,12 @@ class _Folder:
         return f"{self.path}/_temporary/{uuid.uuid4().hex}"
 
     def name(self, temporary: str, final: str) -> None:
-        self.files.move(temporary, f"{self.path}/{final}")
+        """Give a whole file its name. One that has it already is from an earlier run of this task, with the same bytes."""
+        final = f"{self.path}/{final}"
+        if self.files.get_file_info(final).type == pyarrow.fs.FileType.NotFound:
+            self.files.move(temporary, final)
+        else:
+            self.files.delete_file(temporary)
 
     def put(self, data: bytes, final: str) -> None:
         path = self.temporary()
@@ -155,31 +165,34 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     payload = text_or_empty(pages[payload_col])
     rows = pages.select(
         pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"),
-        F.sha2(payload.cast("binary"), 256).alias("sha256"), F.octet_length(payload).alias("size"),
+        F.sha2(payload.cast("binary"), 256).alias("sha256"), (F.octet_length(payload) + RECORD_BYTES).cast("long").alias("size"),
     )
     rows, n = _shards(rows, shard_bytes)
-    # More partitions than shards, so that few tasks get several. Where payloads repeat, a note with the first identifier goes ahead of the records: only notes are joined, not payloads.
-    names = rows.select("page_id", "sha256", "shard")
-    first = names.groupBy("sha256").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    notes = names.join(first, "sha256").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "sha256", "shard", "first_id", F.lit(0).alias("kind")).distinct()
+    # Where payloads repeat, a note with the first identifier goes ahead of a shard's records. Notes come from what each shard says of
+    # a payload, counted before the shuffle, so a payload that most rows share is a row for each shard and not for each page.
+    told = rows.groupBy("sha256", "shard").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    same = W.partitionBy("sha256")
+    notes = told.select("sha256", "shard", F.min("least").over(same).alias("first_id"), F.sum("n").over(same).alias("copies")).where("copies > 1")
+    none = F.lit(None).cast("string")
+    notes = notes.select(F.lit(None).cast("long").alias("page_id"), none.alias("url"), none.alias("payload"), "sha256", "shard", "first_id", F.lit(0).alias("kind"))
     records = rows.select("page_id", "url", "payload", "sha256", "shard", F.lit(None).cast("long").alias("first_id"), F.lit(1).alias("kind"))
-    dealt = records.unionByName(notes).repartition(4 * n, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "sha256", "kind", "url")
+    # More partitions than shards, so that few tasks get several.
+    dealt = records.unionByName(notes).repartition(min(4 * n, TASKS), "shard").sortWithinPartitions("shard", "kind", F.asc_nulls_last("page_id"), "sha256", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, writer, done, last, copy, noted, first_id = _Folder(folder), None, [], None, 0, False, None
+        place, writer, done, last, copy, firsts = _Folder(folder), None, [], None, 0, {}
         for batch in batches:
             for page_id, url, text, sha256, shard, first_of, kind in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if writer is None or writer.shard != shard:
                     done += [(writer.shard, *writer.finish())] if writer else []
-                    writer = _ShardWriter(place, shard, roll_bytes)
-                if (shard, page_id, sha256) != last:
-                    last, copy, noted, first_id = (shard, page_id, sha256), 0, False, None
+                    writer, last, firsts = _ShardWriter(place, shard, roll_bytes), None, {}
                 if kind == 0:
-                    noted, first_id = True, first_of
+                    firsts[sha256] = first_of
                     continue
-                revisit = noted and (first_id != page_id or copy > 0)
+                copy = copy + 1 if (page_id, sha256) == last else 0
+                last, first_id = (page_id, sha256), firsts.get(sha256)
+                revisit = sha256 in firsts and (first_id != page_id or copy > 0)
                 writer.write(record(page_id, url, text.encode(errors="replace"), sha256, copy, first_id, revisit))
-                copy += 1
         done += [(writer.shard, *writer.finish())] if writer else []
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], ["shard", "manifest", "records"])
 
@@ -229,7 +242,7 @@ def read_archive(spark: SparkSession, folder: str, payloads: bool = True) -> Dat
     schema = T._parse_datatype_string(_RECORD)
     if not shards:
         return spark.createDataFrame([], schema)
-    names = spark.createDataFrame([(s["manifest"],) for s in shards], "manifest string").repartition(4 * len(shards), "manifest")
+    names = spark.createDataFrame([(s["manifest"],) for s in shards], "manifest string").repartition(min(4 * len(shards), TASKS), "manifest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = pyarrow.fs.FileSystem.from_uri(folder)

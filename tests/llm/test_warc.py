@@ -98,6 +98,14 @@ def test_one_identifier_or_payload_for_all(spark, tmp_path):
     assert _read(spark, f"file://{tmp_path}/b").where("record_type = 'revisit' and refers_to = 0").count() == 399
 
 
+def test_a_shard_of_empty_payloads_ends_and_a_second_run_finds_its_files(spark, tmp_path):
+    rows = [(i, "u", None, None, None, 1) for i in range(400)]
+    for _ in range(2):
+        warc.write_archive(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/a", shard_bytes=100 * warc.RECORD_BYTES)
+        assert len(json.load(open(f"{tmp_path}/a/manifest.json"))) == 4
+        assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in _read(spark, f"file://{tmp_path}/a").collect()) == brute(rows)
+
+
 def test_empty_table(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/a")
     assert _read(spark, f"file://{tmp_path}/a").count() == 0
