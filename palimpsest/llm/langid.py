@@ -7,7 +7,6 @@ less a penalty for each language, is highest.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +27,15 @@ INDEPENDENT = 1 / 3
 ROUNDS, STILL = 40, 1e-4
 SMOOTH = 0.5
 
-_LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.arange(256, dtype=np.uint32)
 _KEEP[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter in Unicode's sense: digits, fractions and other number signs are none."""
+    return any(map(str.isalpha, text))
+
+
 def grams(text: str) -> np.ndarray:
     """Buckets of the byte trigrams of a text in lower case; all but ASCII letters and bytes beyond ASCII count as blanks."""
     b = _KEEP[np.frombuffer(f" {text.lower()} ".encode(errors="replace"), np.uint8)]
@@ -56,7 +59,7 @@ class Model:
 
     def proportions(self, text: str | None) -> dict[str, float]:
         """The languages of a text with their proportions; none if it has no letter or nothing was learned."""
-        if text is None or not self.languages or not _LETTER.search(text):
+        if text is None or not self.languages or not has_letter(text):
             return {}
         seen = np.bincount(grams(text), minlength=BUCKETS)
         at = np.flatnonzero(seen)
@@ -113,7 +116,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if _LETTER.search(text):
+                if has_letter(text):
                     seen.setdefault(lang, np.zeros(BUCKETS, np.int64))[:] += np.bincount(grams(text), minlength=BUCKETS)
         for lang, c in seen.items():
             at = np.flatnonzero(c)

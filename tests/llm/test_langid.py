@@ -52,7 +52,7 @@ def test_learns_only_from_labelled_texts_that_are_not_held_out(spark):
 
 
 def test_awkward_rows(spark, model):
-    texts = [*edge_texts(), "123 !?", "é", "漢字"]
+    texts = [*edge_texts(), "123 !?", "é", "漢字", "½ ² Ⅷ ①"]
     docs = awkward(spark, texts)
     rows = {r.doc_id: r for r in langid.identify(docs, model).select("row.doc_id", "out.*").collect()}
     for i, t in enumerate(texts):
