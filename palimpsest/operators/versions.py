@@ -86,11 +86,8 @@ def watermark_gc(versions: DataFrame, watermark: int, keep_tombstones: bool = Fa
     """The versions that readers at `watermark` or later can see: all later ones, and of the others each key's newest.
 
     That one goes if it is a tombstone, unless `keep_tombstones`: then an older version may lie below what is compacted here,
-    and must not show again.
+    and must not show again. Later versions are not shuffled; of a key's others each task passes on one.
     """
-    old = F.col(ts) <= F.lit(watermark)
-    ranked = versions.withColumn("_old", old).withColumn("_place", F.row_number().over(W.partitionBy(key, "_old").orderBy(F.desc(ts))))
-    last = F.col("_place") == 1
-    if not keep_tombstones:
-        last = last & ~is_tombstone(F.col(value))
-    return ranked.where(~F.col("_old") | last).drop("_old", "_place")
+    later = versions.where(F.col(ts) > F.lit(watermark))
+    last = keep_first(visible(versions, watermark, ts), [key], F.desc(ts))
+    return later.unionByName(last if keep_tombstones else no_deleted(last, value))

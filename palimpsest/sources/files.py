@@ -29,6 +29,15 @@ class Files:
         path = self._path(folder)
         return sorted(s.getPath().getName() for s in self.system.listStatus(path)) if self.system.exists(path) else []
 
+    def below(self, folder: str) -> list[str]:
+        """All files in a folder and its folders, by their names from there."""
+        path, out = self._path(folder), []
+        if self.system.exists(path):
+            start, found = len(self.system.makeQualified(path).toString()) + 1, self.system.listFiles(path, True)
+            while found.hasNext():
+                out.append(found.next().getPath().toString()[start:])
+        return sorted(out)
+
     def read(self, name: str) -> bytes:
         stream = self.system.open(self._path(name))
         try:
