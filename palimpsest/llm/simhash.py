@@ -29,7 +29,7 @@ FANOUT = 8
 TOGETHER = 512
 #: Members of an upper node beyond which it is divided by the bits that its mask leaves.
 MANY = 20_000
-#: Shingles in one block of a candidate group; a group of several blocks is compared block by block, two in a task.
+#: Shingles in one block of a candidate group; what a group of several blocks must compare across them is compared two blocks in a task.
 BLOCK = 500_000
 
 #: Masks whose links are connected before the other masks' links are sought.
@@ -325,12 +325,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     masks = recall_masks(sets.count(), similarity, 128, recall)
     proposed = written(_proposed(sets, masks, radius_of(similarity, 128)), f"{folder}/proposed")
 
-    sized = proposed.join(sets.select("node", "size"), "node")
-    sizes = sized.groupBy("root").agg(F.ceil((F.sum("size") + 1) / BLOCK).alias("blocks"))
-    mine = F.pmod(F.hash("node"), F.col("blocks"))
-    with_each = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda y: F.struct(F.least(mine, y).alias("x"), F.greatest(mine, y).alias("y")))).alias("pair")
-    compared = proposed.join(sizes, "root").select("node", "root", with_each).select("node", F.xxhash64("root", "pair").alias("group"))
-    groups = connected_components(_verified(compared.join(texts.select(F.col("at").alias("node"), "text"), "node"), words, similarity))
+    sized = written(proposed.join(sets.select("node", "size"), "node"), f"{folder}/sized")
+    sizes = written(sized.groupBy("root").agg(F.ceil((F.sum("size") + 1) / BLOCK).alias("blocks")), f"{folder}/sizes")
+    groups = _compared(sized.join(sizes, "root"), texts.select(F.col("at").alias("node"), "text"), words, similarity, folder)
 
     placed = rows.join(sets, same).select("at", "id", "node").join(groups, "node", "left").select("at", "id", F.coalesce("root", "node").alias("root"))
     placed = written(placed, f"{folder}/placed")
@@ -357,8 +354,36 @@ def _proposed(sets: DataFrame, masks: list[list[int]], radius: int) -> DataFrame
     return lifted.unionByName(then.join(first, "node", "left_anti"))
 
 
+def _compared(members: DataFrame, texts: DataFrame, words: int, similarity: float, folder: str) -> DataFrame:
+    """(node, root) of the nodes that links of this similarity connect within their proposed groups: `members` (node, root, size, blocks).
+
+    A group's members are compared within their blocks, each of which also gets the group's first member. What that connects
+    to the first member needs no more comparisons among itself; the rest of the group, mostly little, is compared with all of
+    it, block by block. So a large group of close texts costs a pass over them, and no pair is left out that could join two parts.
+    """
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    block = F.pmod(F.hash("node"), F.col("blocks"))
+    dealt = F.when(F.col("node") == F.col("root"), numbers("blocks")).otherwise(F.array(block))
+    dealt = members.select("node", "root", F.explode(dealt).alias("block")).select("node", F.xxhash64("root", "block").alias("group"))
+    near = written(connected_components(_verified(dealt.join(texts, "node"), words, similarity)), f"{folder}/near")
+
+    large = members.where("blocks > 1").join(near.withColumnRenamed("root", "top"), "node", "left")
+    large = written(large.withColumn("joined", F.coalesce("top", "node") == F.col("root")), f"{folder}/large")
+    rest = large.where("not joined")
+    if rest.isEmpty():
+        return near
+    shares = written(rest.groupBy("root").agg(F.ceil((F.sum("size") + 1) / BLOCK).alias("parts")), f"{folder}/shares")
+    part = F.pmod(F.hash("node", F.lit(1)), F.col("parts"))
+    among = F.transform(numbers("parts"), lambda y: F.xxhash64("root", F.lit("rest"), F.least(part, y), F.greatest(part, y)))
+    against = F.transform(numbers("blocks"), lambda y: F.xxhash64("root", F.lit("all"), part, y))
+    asked = F.transform(numbers("parts"), lambda x: F.xxhash64("root", F.lit("all"), x, block))
+    dealt = large.join(shares, "root").select("node", F.explode(F.when(F.col("joined"), asked).otherwise(F.concat(among, against))).alias("group"))
+    links = _verified(dealt.join(texts, "node"), words, similarity)
+    return connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
 def _verified(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) that connect the rows of each group (node, group, text) whose shingle sets are similar enough, compared exactly."""
+    """Links (a, b) that connect the rows of each group (node, text, group) whose shingle sets are similar enough, compared exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets = None, []

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from palimpsest.llm import simhash
 from palimpsest.llm.components import connected_components
@@ -138,6 +139,20 @@ def test_large_groups_are_compared_block_by_block(spark, monkeypatch):
     assert sorted((r.id, r.keep_id) for r in rows) == list(enumerate(want))
 
 
+def test_a_group_that_only_chains_hold_together(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 700)
+    words = [f"w{i}" for i in range(420)]
+    texts = [" ".join(words[4 * i : 4 * i + 100]) for i in range(80)] + [" ".join(words[4 * i : 4 * i + 100][::-1]) for i in range(9)] + ["w1 w2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    members = docs.select("node", F.when(F.col("node") < 80, 0).when(F.col("node") < 89, 80).otherwise(89).cast("long").alias("root"), F.lit(96).cast("long").alias("size"))
+    sizes = members.groupBy("root").agg(F.ceil((F.sum("size") + 1) / simhash.BLOCK).alias("blocks"))
+    sets = [set(shingles(t, 5)) for t in texts]
+    want = components(len(texts), lambda i, j: _jaccard(sets[i], sets[j]) >= 0.8)
+    assert len(set(want)) == 3
+    got = {r.node: r.root for r in simhash._compared(members.join(sizes, "root"), docs, 5, 0.8, simhash.work_dir(spark, "chains")).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == want
+
+
 def test_repeated_rows_null_identifiers_and_empty_tables(spark):
     rows = [(7, LONG), (7, LONG), (None, LONG), (3, None), (None, None), (9, "other")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
