@@ -32,8 +32,10 @@ MANY = 20_000
 #: Shingles in one block of a candidate group; what a group of several blocks must compare across them is compared two blocks in a task.
 BLOCK = 500_000
 
-#: Masks whose links are connected before the other masks' links are sought.
-FIRST_MASKS = 8
+#: Shingles of a prefix whose links are connected before the other shingles' links are sought.
+FIRST_SHINGLES = 8
+#: Texts whose shingles say which ones are common, and in how many of them a common one is. Only the order of shingles depends on it.
+ORDER_TEXTS, COMMON = 10_000, 4
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -174,6 +176,21 @@ def _group_links(names: np.ndarray, prints: np.ndarray, radius: int, forest: For
             roots = np.array([forest.root(x) for x in names.tolist()])
 
 
+def _walk_links(names: np.ndarray, prints: np.ndarray, radius: int, forest: Forest) -> Iterator[tuple[int, int]]:
+    """The same for a radius so wide that a tree hardly prunes: from each member to all within the radius that none has reached yet."""
+    left = np.arange(len(names))
+    while len(left):
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            near = np.bitwise_count(prints[left] ^ prints[i]).sum(axis=1) <= radius
+            found, left = left[near], left[~near]
+            reached += found.tolist()
+            for j in found.tolist():
+                if forest.joins(int(names[i]), int(names[j])):
+                    yield int(names[i]), int(names[j])
+
+
 def _links(groups: np.ndarray, names: np.ndarray, prints: np.ndarray, radius: int, forest: Forest) -> list[tuple[int, int]]:
     """Links among rows sorted by upper node and Gray rank; only those that join two trees."""
     cut = np.flatnonzero(np.diff(groups)) + 1
@@ -186,8 +203,9 @@ def _links(groups: np.ndarray, names: np.ndarray, prints: np.ndarray, radius: in
         i = i[i + d < end[:-d]]
         i = i[np.bitwise_count(prints[i] ^ prints[i + d]).sum(axis=1) <= radius]
         out += [(a, b) for a, b in zip(names[i].tolist(), names[i + d].tolist(), strict=True) if forest.joins(a, b)]
+    search = _group_links if radius * 8 < prints.shape[1] * 64 else _walk_links
     for k in np.flatnonzero(size > LEAF):
-        out += _group_links(names[first[k] : last[k]], prints[first[k] : last[k]], radius, forest)
+        out += search(names[first[k] : last[k]], prints[first[k] : last[k]], radius, forest)
     return out
 
 
@@ -267,49 +285,94 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 # Near duplicates by verified similarity, over a wider fingerprint.
 
 
-def recall_masks(rows: int, similarity: float, bits: int, recall: float, seed: int = 7) -> list[list[int]]:
-    """Sets of bits, such that two texts of this Jaccard similarity agree in one of the sets with this probability.
+def bit_apart(similarity: float) -> float:
+    """The largest probability that a bit of the fingerprints of two sets of this Jaccard similarity differs.
 
-    Weighted shingles of two texts stand at an angle with cosine 2J / (1 + J); a bit agrees with probability 1 - angle / pi.
-    The sets grow with the logarithm of the rows, so that unlike texts meet in few of them.
+    Weighted shingles of two large sets stand at an angle with cosine 2J / (1 + J), and a bit differs with probability angle / pi.
+    Small sets, whose bits tie or turn at one shingle, are counted out: all unions of up to 40 shingles.
     """
-    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    width = min(bits // 2, max(8, math.ceil(math.log2(max(2, rows))) - 2))
-    n = math.ceil(math.log(1 - recall) / math.log(1 - agree**width))
-    rng = np.random.default_rng(seed)
-    return [sorted(rng.choice(bits, width, replace=False).tolist()) for _ in range(n)]
+    sums = lambda n: np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+    most = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for union in range(1, 41):
+        both = math.ceil(similarity * union - 1e-9)
+        for only in range((union - both) // 2 + 1):
+            other = union - both - only
+            set_a = 2 * (np.arange(both + 1)[:, None] + np.arange(only + 1)) > both + only
+            set_b = 2 * (np.arange(both + 1)[:, None] + np.arange(other + 1)) > both + other
+            one, two = set_a @ sums(only), set_b @ sums(other)
+            most = max(most, float(sums(both) @ (one * (1 - two) + two * (1 - one))))
+    return most
+
+
+def radius_of(similarity: float, bits: int, recall: float) -> int:
+    """The least number of bits within which two sets of this similarity stay with this probability; bits differ independently."""
+    p, within = bit_apart(similarity), 0.0
+    for d in range(bits):
+        within += math.comb(bits, d) * p**d * (1 - p) ** (bits - d)
+        if within >= recall:
+            return d
+    return bits
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a set's distinct shingles, rare ones ahead, then by hash. Two sets of at least this similarity share at least
+    ceil(similarity * size) shingles of either, so that the first one they share is in both prefixes: no pair is lost."""
+    if not len(hashes):
+        return hashes
+    known, often = common
+    at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+    rank = np.where(known[at] == hashes, often[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
+    return hashes[np.lexsort((hashes, rank))][: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
 
+def common_shingles(texts: DataFrame, words: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in many texts, and in how many of about ORDER_TEXTS of them: at most a few MB.
+
+    They only order shingles; any other order gives the same links, but larger nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.zeros(0, np.uint64)]
+        for batch in batches:
+            found += [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(0)]
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        yield pa.RecordBatch.from_arrays([_signed(h), pa.array(n, pa.int64())], ["h", "n"])
 
-def radius_of(similarity: float, bits: int, deviations: float = 3.0) -> int:
-    """Differing bits that all but about one in 700 pairs of this similarity stay within."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+    cells = 1 << 30
+    some = texts.where(F.pmod(F.xxhash64("at"), F.lit(cells)) < math.ceil(min(1.0, ORDER_TEXTS / max(1, rows)) * cells)).select("text")
+    found = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
-_WIDE = "struct<prints:array<long>,size:long,sum:long>"
+_WIDE = "struct<prints:array<long>,size:long,sum:long,prefix:array<long>>"
 
 
-def _wide_column(words: int):
+def _wide_column(words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
     def column(texts: pa.Array) -> pa.Array:
-        prints, sizes, sums = [], [], []
+        prints, sizes, sums, prefixes = [], [], [], [np.zeros(0, np.uint64)]
         for t in texts:
             h = np.unique(shingle_hashes(t.as_py(), words))
             prints.append([x - (1 << 64) if x >> 63 else x for x in (majority(h), majority(remixed(h, 0)))])
             sizes.append(len(h))
             sums.append(remixed(h, 1).sum(dtype=np.uint64))
-        return pa.StructArray.from_arrays([pa.array(prints, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), _signed(sums)], ["prints", "size", "sum"])
+            prefixes.append(prefix(h, common, similarity))
+        ends = pa.array(np.cumsum([len(x) for x in prefixes]), pa.int32())
+        first = pa.ListArray.from_arrays(ends, _signed(np.concatenate(prefixes)))
+        return pa.StructArray.from_arrays([pa.array(prints, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), _signed(sums), first], ["prints", "size", "sum", "prefix"])
 
     return column
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.99, folder: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.999999, folder: str | None = None) -> DataFrame:
     """For every row: `row` (all its columns), `id`, `keep_id` and `kept`. Rows belong to one group when links of Jaccard similarity
     `similarity` or more between their sets of `words`-word shingles connect them; the smallest identifier of a group stays
     (null last; of rows that tie, exactly one).
 
-    128-bit fingerprints in the index propose groups at a radius that nearly all such links keep within; then every group's
-    shingle sets are compared exactly. `recall` is the least probability that a link at the very threshold is proposed; closer
-    texts are proposed more surely, and equal shingle sets always. Texts without words, null among them, are equal.
+    An exact prefix filter deals texts to the index's upper nodes, one for each shingle of a prefix, so that linked texts always
+    share one. 128-bit fingerprints in them propose groups at a radius that such links keep within; then every group's shingle
+    sets are compared exactly. `recall` is the least probability that a link at the very threshold is proposed, whatever the number
+    of rows; closer texts are proposed more surely, and equal shingle sets always. Texts without words, null among them, are equal.
     `folder` is a work folder on shared storage, which the result reads from.
     """
     spark = docs.sparkSession
@@ -318,12 +381,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = written(named, f"{folder}/rows")
     texts = named.select("id", "at", F.col(f"row.{text_col}").cast("string").alias("text"))
     wide = T._parse_datatype_string(_WIDE)
-    rows = written(map_texts(texts, "text", lambda: _wide_column(words), wide, ["id", "at"]).select("row.*", "out.*"), f"{folder}/prints")
+    common = spark.sparkContext.broadcast(common_shingles(texts, words, named.count()))
+    rows = written(map_texts(texts, "text", lambda: _wide_column(words, similarity, common.value), wide, ["id", "at"]).select("row.*", "out.*"), f"{folder}/prints")
     same = ["prints", "size", "sum"]
     sets = written(rows.groupBy(*same).agg(F.min("at").alias("node")), f"{folder}/sets")
 
-    masks = recall_masks(sets.count(), similarity, 128, recall)
-    proposed = written(_proposed(sets, masks, radius_of(similarity, 128)), f"{folder}/proposed")
+    prefixes = rows.select(F.col("at").alias("node"), "prints", "prefix").join(sets.select("node"), "node", "left_semi")
+    proposed = written(_proposed(prefixes, radius_of(similarity, 128, recall)), f"{folder}/proposed")
 
     sized = written(proposed.join(sets.select("node", "size"), "node"), f"{folder}/sized")
     sizes = written(sized.groupBy("root").agg(F.ceil((F.sum("size") + 1) / BLOCK).alias("blocks")), f"{folder}/sizes")
@@ -336,20 +400,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.join(decided, "at").select("row", "id", "keep_id", "kept")
 
 
-def _proposed(sets: DataFrame, masks: list[list[int]], radius: int) -> DataFrame:
-    """(node, root) of the nodes that links under any of the masks connect.
+def _proposed(sets: DataFrame, radius: int) -> DataFrame:
+    """(node, root) of the nodes that links under any shingle of their prefixes connect: `sets` (node, prints, prefix).
 
-    The first masks connect large groups of close texts; under the others a node goes by its root, so that links within what is
-    connected already are not made again for every mask.
+    The first shingles connect large groups of close texts; under the others a node goes by its root, so that links within what is
+    connected already are not made again for every shingle.
     """
-    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x)
-    halves = [[sum(1 << (b - 64 * w) for b in m if b // 64 == w) for w in (0, 1)] for m in masks]
-    buckets = [F.xxhash64(F.lit(i), *[F.col("prints")[w].bitwiseAND(signed(x)) for w, x in enumerate(h)]) for i, h in enumerate(halves)]
-    dealt = lambda rows, some: rows.select("node", F.explode(F.array(*some)).alias("bucket"), "prints")
+    begun = F.slice("prefix", 1, FIRST_SHINGLES)
     folder = work_dir(sets.sparkSession, "proposed")
-    first = written(connected_components(index_links(dealt(sets, buckets[:FIRST_MASKS]), radius)), f"{folder}/first")
-    rooted = sets.join(first, "node", "left").select(F.coalesce("root", "node").alias("node"), "prints")
-    then = written(connected_components(index_links(dealt(rooted, buckets[FIRST_MASKS:]), radius)), f"{folder}/then")
+    sets = written(sets, f"{folder}/sets")
+    first = written(connected_components(index_links(sets.select("node", F.explode(begun).alias("bucket"), "prints"), radius)), f"{folder}/first")
+    rooted = sets.join(first, "node", "left").select(F.coalesce("root", "node").alias("node"), F.explode("prefix").alias("bucket"), "prints")
+    then = written(connected_components(index_links(rooted, radius)), f"{folder}/then")
     lifted = first.join(then.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return lifted.unionByName(then.join(first, "node", "left_anti"))
 

@@ -130,6 +130,41 @@ def test_near_duplicates_on_the_table(spark):
     assert len(wrong) <= 0.01 * sum(i != w for i, w in enumerate(want)) + 1
 
 
+def test_links_at_the_very_threshold_are_all_found(spark):
+    """Pairs of 4k and 5k shingles, the fewer among the more, by the default recall; small sets, even and odd, among them."""
+    texts = []
+    for i in range(600):
+        k = 1 + i % 50
+        words = [f"p{i}w{j}" for j in range(5 * k + 4)]
+        texts += [" ".join(words[: 4 * k + 4]), " ".join(words)]
+    assert _jaccard(set(shingles(texts[20], 5)), set(shingles(texts[21], 5))) == 0.8
+    got = {r.id: r.keep_id for r in simhash.near_duplicates(awkward(spark, texts)).collect()}
+    assert [i for i in range(len(texts)) if got[i] != i - i % 2] == []
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(6)
+    common = np.arange(0, 400, 3, dtype=np.uint64), rng.integers(4, 99, 134)
+    for _ in range(2000):
+        a = np.sort(rng.choice(400, rng.integers(1, 60), replace=False)).astype(np.uint64)
+        b = np.sort(rng.choice(np.union1d(a, rng.choice(400, 9).astype(np.uint64)), max(1, len(a) - rng.integers(0, 3)), replace=False))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9:
+            assert len(np.intersect1d(simhash.prefix(a, common, 0.8), simhash.prefix(b, common, 0.8)))
+
+
+@pytest.mark.parametrize("radius", [0, 16, 47])
+def test_the_walk_links_what_the_radius_connects(radius):
+    rng = np.random.default_rng(9)
+    prints = rng.integers(0, 1 << 63, (12, 2), dtype=np.uint64)[rng.integers(0, 12, 150)]
+    for row in prints:
+        for _ in range(rng.integers(0, 30)):
+            row[rng.integers(0, 2)] ^= np.uint64(1) << np.uint64(rng.integers(0, 64))
+    want = components(150, lambda i, j: int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= radius)
+    forest = simhash.Forest()
+    links = list(simhash._walk_links(np.arange(150), prints, radius, forest))
+    assert [forest.root(i) for i in range(150)] == want and len(links) == 150 - len(set(want))
+
+
 def test_large_groups_are_compared_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 2_000)
     texts = _edited(6, 50, LONG)
