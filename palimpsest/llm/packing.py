@@ -1,7 +1,9 @@
 """Packing by lexical retrieval: windows of training tokens, each filled around a seed document with its nearest neighbours.
 
-Documents are dealt in shards of bounded size, where they already are: a shard is a run of documents of one input partition.
-Each shard has a BM25 inverted index. A seed's unused neighbours fill its window in order of their scores; the one that
+Document frequencies and the mean length are counted over all documents. A tree of halving cuts, learned from a sample of their
+weighted term vectors in few dimensions, then puts all documents in an order in which lexical neighbours stand together,
+wherever they were in the input. Shards of bounded size are runs of documents in that order, and each has a BM25 inverted index:
+a seed's neighbours outside its shard are not seen. A seed's unused neighbours fill its window in order of their scores; the one that
 doesn't fit is cut, and its rest is the next seed. So all windows are full but a shard's last tokens, which become sequences
 whose lengths are powers of two and need no padding either.
 """
@@ -21,14 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, work_dir, written
 
 WINDOW = 2048
 #: A shard is full at so many documents or tokens.
 SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 20
+#: Full shards of tokens in a task.
+TASK_SHARDS = 4
 #: The token after each document.
 END = 1
 K1, B = 1.2, 0.75
+#: Dimensions of the vectors that the order goes by.
+DIMS = 64
+#: Documents whose vectors the cuts are learned from: so many at least, and one in so many; at each last cut, so many are left.
+CUT_DOCS, CUT_SHARE, CUT_LEAST = 20_000, 128, 16
 #: Distinct parts of words whose tokens a worker remembers at a time: about 100 MB.
 REMEMBERED = 500_000
 
@@ -83,26 +91,80 @@ def remembering(model: str) -> Tokens:
     return Tokens(model)
 
 
+class Corpus:
+    """What BM25 needs to know of all documents: how many there are, their tokens, and in how many of them each term occurs."""
+
+    def __init__(self, docs: int, tokens: float, df: np.ndarray) -> None:
+        self.docs, self.tokens, self.mean = docs, tokens, tokens / max(1, docs)
+        self.idf = np.maximum(0.0, np.log((docs - df + 0.5) / (df + 0.5)))
+
+    def weights(self, terms: np.ndarray, often: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return self.idf[terms] * often * (K1 + 1) / (often + K1 * (1 - B + B * lengths / self.mean))
+
+    def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
+        """The weights of each document's terms, of length 1, by random signs in DIMS dimensions."""
+        signs = _signs(len(self.idf))
+        out = np.zeros((len(docs), DIMS), np.float32)
+        for i, d in enumerate(docs):
+            terms, often = np.unique(d, return_counts=True)
+            out[i] = self.weights(terms, often, len(d)).astype(np.float32) @ signs[terms]
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+@lru_cache(maxsize=1)
+def _signs(terms: int) -> np.ndarray:
+    return np.random.default_rng(5).choice(np.array([-1, 1], np.float32), (terms, DIMS))
+
+
+class Cuts:
+    """A complete tree of cuts: each halves the sample below it across the direction in which it differs most."""
+
+    def __init__(self, sample: np.ndarray) -> None:
+        self.depth = max(0, int(np.log2(max(1, len(sample)) / CUT_LEAST)))
+        self.across = np.zeros(((1 << self.depth) - 1, DIMS), np.float32)
+        self.at = np.full(len(self.across), np.inf, np.float32)
+        node = np.zeros(len(sample), np.int64)
+        for level in range(self.depth):
+            order = np.argsort(node, kind="stable")
+            ends = np.searchsorted(node[order], np.arange((1 << level) - 1, (2 << level)))
+            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                if b - a > 1:
+                    part = sample[order[a:b]]
+                    self.across[(1 << level) - 1 + k] = across = np.linalg.eigh(np.cov(part.T))[1][:, -1]
+                    self.at[(1 << level) - 1 + k] = np.median(part @ across)
+            node = self._down(node, sample)
+
+    def _down(self, node: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        return 2 * node + 1 + ((vectors * self.across[node]).sum(axis=1) > self.at[node])
+
+    def place(self, vectors: np.ndarray) -> np.ndarray:
+        """The leaf of each vector, counted from the left."""
+        node = np.zeros(len(vectors), np.int64)
+        for _ in range(self.depth):
+            node = self._down(node, vectors)
+        return node - ((1 << self.depth) - 1)
+
+
 class Index:
-    """A BM25 inverted index over the documents of a shard. A term in over half of them weighs nothing, as its idf isn't positive."""
+    """A BM25 inverted index over the documents of a shard, with the weights of `corpus`, or of the shard alone if there is none.
+    A term in over half of the documents weighs nothing, as its idf isn't positive."""
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None) -> None:
         n = len(docs)
         found = [np.unique(d, return_counts=True) for d in docs]
         terms = np.concatenate([t for t, _ in found]).astype(np.int64)
         often = np.concatenate([c for _, c in found])
         owner = np.repeat(np.arange(n), [len(t) for t, _ in found])
-        df = np.bincount(terms)
-        idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
         lengths = np.array([len(d) for d in docs], float)
-        weight = idf[terms] * often * (K1 + 1) / (often + K1 * (1 - B + B * lengths[owner] / lengths.mean()))
+        corpus = corpus or Corpus(n, lengths.sum(), np.bincount(terms))
+        weight = corpus.weights(terms, often, lengths[owner])
         some = weight > 0
         terms, owner, weight = terms[some], owner[some], weight[some]
         self.of = np.searchsorted(owner, np.arange(n + 1))
         self.terms = terms
         order = np.argsort(terms, kind="stable")
         self.holder, self.weight = owner[order], weight[order]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(df)))])
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(corpus.idf)))])
         self.n = n
 
     def scores(self, doc: int) -> np.ndarray:
@@ -118,7 +180,7 @@ class Index:
 Piece = tuple[int, int, int, int, int]  # document, start, length, sequence, offset
 
 
-def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[Piece]:
+def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[Piece]:
     """Pieces of all documents of a shard; each token lies in one piece, each sequence is full or a power of two long."""
     pieces: list[Piece] = []
     sequence = 0
@@ -129,7 +191,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[Piece]:
             start[d] += window
             sequence += 1
     left = np.array([len(d) for d in docs], np.int64) - start
-    index, open_, room = Index(docs), [], window
+    index, open_, room = Index(docs, corpus), [], window
     seed = None
     while (left > 0).any():
         if seed is None or not left[seed]:
@@ -181,13 +243,59 @@ def _powers(parts: list[tuple[int, int, int]], sequence: int) -> list[Piece]:
 _OUT = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u4") for x in column]
+
+
+def _terms(tokenizer: str) -> int:
+    """One more than the largest token number."""
+    from tokenizers import Tokenizer
+
+    return max([END, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()]) + 1
+
+
+def counted(rows: DataFrame, terms: int) -> Corpus:
+    """The counts of all documents in `rows` (ids): added up in each task, then over tasks; at most a row for each term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs, tokens = np.zeros(terms, np.int64), 0, 0
+        for batch in batches:
+            ids = _ids(batch.column(0))
+            docs, tokens = docs + len(ids), tokens + sum(map(len, ids))
+            if ids:
+                df += np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=terms)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *at], pa.int64()), pa.array([docs, tokens, *df[at]], pa.int64())], ["term", "n"])
+
+    found = rows.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, df = found.column("term").to_numpy() + 2, np.zeros(terms + 2, np.int64)
+    df[at] = found.column("n").to_numpy()
+    return Corpus(int(df[0]), int(df[1]), df[2:])
+
+
+def _vectors(rows: DataFrame, corpus, docs: int) -> np.ndarray:
+    """The vectors of a sample of the documents in `rows` (at, ids)."""
+    cells = 1 << 30
+    share = max(CUT_DOCS, docs // CUT_SHARE) / max(1, docs)
+    some = rows.where(F.pmod(F.xxhash64("at"), F.lit(cells)) < int(min(1.0, share) * cells))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = corpus.value.vectors(_ids(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in found], pa.binary())], ["vector"])
+
+    found = some.select("ids").mapInArrow(run, "vector binary").toArrow().column("vector")
+    return np.frombuffer(b"".join(sorted(found.to_pylist())), np.float32).reshape(-1, DIMS)
+
+
 def packed(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: list[str] | None = None, window: int = WINDOW) -> DataFrame:
     """For every piece: `row` (the document's columns in `keep`, all by default), start (its document's tokens before it), length,
     doc_tokens (with the end token), sequence_id, offset in the sequence, and `ids`, its tokens as little-endian 32-bit numbers.
 
     `tokenizer` is the path of a tokenizer file, read on the driver. Null counts as empty: such a document is its end token.
-    Repeated rows are packed once each; rows are told apart by their place, so identifiers may be null or repeated. Nothing is
-    shuffled: shards follow the input's partitions, so no key and no group of copies can make one larger. No rows, no pieces.
+    Repeated rows are packed once each; rows are told apart by their place, so identifiers may be null or repeated. Documents are
+    sorted by their leaf, then by their place, and ranges of both are dealt, so no group of copies can make a task larger. The
+    result reads from a work folder on shared storage. No rows, no pieces.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -195,18 +303,39 @@ def packed(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: list[s
         model = spark.sparkContext.broadcast(f.read())  # a vocabulary file, 2 MB
     keep = docs.columns if keep is None else keep
     row = F.struct(*[docs[c] for c in keep]).alias("row") if keep else F.struct(F.lit(0).alias("none")).alias("row")
-    sent = docs.select(row, docs[text_col].cast("string").alias("text"))
+    sent = docs.select(row, F.monotonically_increasing_id().alias("at"), docs[text_col].cast("string").alias("text"))
     schema = T.StructType([sent.schema["row"], *T._parse_datatype_string(_OUT).fields])
+    inner = T.StructType([sent.schema["row"], T.StructField("at", T.LongType()), T.StructField("ids", T.BinaryType())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = remembering(model.value)
+        for batch in batches:
+            ids = pa.array([tokens(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], inner.names)
+
+    rows = written(sent.mapInArrow(read, inner), f"{work_dir(spark, 'packing')}/ids")
+    counts = counted(rows, _terms(tokenizer))
+    corpus = spark.sparkContext.broadcast(counts)  # a number for each term
+    cuts = spark.sparkContext.broadcast(Cuts(_vectors(rows, corpus, counts.docs)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = cuts.value.place(corpus.value.vectors(_ids(batch.column(2))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64())], [*inner.names, "leaf"])
+
+    placed = rows.mapInArrow(place, T.StructType([*inner.fields, T.StructField("leaf", T.LongType())]))
+    tasks = max(1, -(-int(counts.tokens) // (TASK_SHARDS * SHARD_TOKENS)))
+    dealt = placed.repartitionByRange(tasks, "leaf", "at").sortWithinPartitions("leaf", "at").select("row", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sequences = remembering(model.value), TaskContext.get().partitionId() << 33
+        sequences = TaskContext.get().partitionId() << 33
         rows: list[pa.Array] = []
         shard: list[np.ndarray] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal rows, shard, size, sequences
-            pieces = pack(shard, window)
+            pieces = pack(shard, window, corpus.value)
             kept = pa.concat_arrays(rows)
             for at in range(0, len(pieces), 1024):
                 part = pieces[at : at + 1024]
@@ -219,8 +348,7 @@ def packed(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: list[s
 
         for batch in batches:
             begun = 0
-            for i, text in enumerate(batch.column(1)):
-                ids = tokens(text.as_py())
+            for i, ids in enumerate(_ids(batch.column(1))):
                 shard.append(ids)
                 size += len(ids)
                 if len(shard) >= SHARD_DOCS or size >= SHARD_TOKENS:
@@ -232,4 +360,4 @@ def packed(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: list[s
         if shard:
             yield from out()
 
-    return sent.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)

@@ -89,6 +89,34 @@ def test_windows_hold_a_seed_and_its_nearest_neighbours():
     assert sum(len(t) == 1 for t in seq.values()) == len(seq)
 
 
+def test_weights_are_those_of_all_documents(spark):
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 60, rng.integers(1, 40)).astype("<u4") for _ in range(30)]
+    rows = spark.createDataFrame([(d.tobytes(),) for d in docs], "ids binary").repartition(5)
+    corpus = packing.counted(rows, 60)
+    assert corpus.docs == 30 and corpus.tokens == sum(map(len, docs))
+    whole, part = packing.Index(docs), packing.Index(docs[:7], corpus)
+    assert np.allclose(part.scores(3), whole.scores(3)[:7])
+
+
+def test_neighbours_meet_across_partitions(spark, monkeypatch):
+    """Texts of one topic, far apart in the input and in other partitions, share windows."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    monkeypatch.setattr(packing, "CUT_LEAST", 4)
+    rng = random.Random(5)
+    vocabulary = [[f"{a}{b}" for a in "bcdfghjklm" for b in t] for t in (["aza", "aze"], ["ovo", "ovu"], ["iki", "iku"], ["ene", "enu"])]
+    texts = [" ".join(rng.choices(vocabulary[i % 4], k=60)) for i in range(256)]
+    rows = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(4, "doc_id"), PATH, window=512).collect()
+    topics = defaultdict(set)
+    for r in rows:
+        topics[r.sequence_id].add(r.row.doc_id % 4)
+    assert sum(len(t) == 1 for t in topics.values()) >= 0.7 * len(topics)
+    far = defaultdict(set)
+    for r in rows:
+        far[r.sequence_id].add(r.row.doc_id // 64)
+    assert any(len(x) > 1 for x in far.values())
+
+
 def test_rows_of_awkward_tables(spark, tokenizer):
     texts = edge_texts()
     docs = awkward(spark, texts + texts)
