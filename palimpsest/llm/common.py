@@ -36,8 +36,13 @@ def cleanup(spark: SparkSession, name: str = "") -> None:
     made = _made(spark)
     for gone in [p for p in made if p.rpartition("/")[2].startswith(name)]:
         made.remove(gone)
-        path = spark._jvm.org.apache.hadoop.fs.Path(gone)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, gone)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no result reads from any more."""
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

@@ -9,31 +9,32 @@ the radius.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, work_dir, written
+from .common import map_texts, remove, work_dir, written
 from .components import connected_components
 
-#: Members of a node below which a plain scan is the tree.
-LEAF = 32
-#: Children of a node of the tree.
+#: Children of a node of a tree.
 FANOUT = 8
-#: Queries that go down the tree together.
-TOGETHER = 512
-#: Members of an upper node beyond which it is divided by the bits that its mask leaves.
+#: Queries that go down the trees together.
+TOGETHER = 4096
+#: Rows of upper nodes that a task works on together, and nodes after which it passes on what it linked.
+CHUNK, HELD = 1 << 16, 500_000
+#: Members of an upper node beyond which it is divided.
 MANY = 20_000
 #: Shingles in one block of a candidate group; what a group of several blocks must compare across them is compared two blocks in a task.
-BLOCK = 500_000
+BLOCK = 100_000
+#: Shingles of prefixes that a task sorts together.
+FLUSH = 1 << 21
 
-#: Shingles of a prefix whose links are connected before the other shingles' links are sought.
-FIRST_SHINGLES = 8
 #: Texts whose shingles say which ones are common, and in how many of them a common one is. Only the order of shingles depends on it.
 ORDER_TEXTS, COMMON = 10_000, 4
 
@@ -105,46 +106,62 @@ def _rank_column(f: Column) -> Column:
     return f
 
 
-class GrayTree:
-    """Fingerprints (rows of unsigned words) in Gray order, under nodes that hold the bits all their members share."""
-
-    def __init__(self, prints: np.ndarray) -> None:
-        self.prints = prints
-        full = np.full((len(prints), prints.shape[1]), ~np.uint64(0))
-        self.levels = [(full, prints)]  # masks of shared bits and their patterns, leaves first
-        while len(self.levels[-1][0]) > FANOUT:
-            mask, pattern = self.levels[-1]
-            at = np.arange(0, len(mask), FANOUT)
+class GrayTrees:
+    """Fingerprints (rows of unsigned words), sorted by upper node and Gray rank, and below each upper node a tree of nodes that
+    hold the bits which all their members share. `starts` are the upper nodes' first rows."""
+
+    def __init__(self, prints: np.ndarray, starts: np.ndarray) -> None:
+        self.prints, self.pruned = prints, 0
+        n = len(prints)
+        counts = np.diff(np.append(starts, n))
+        self.upper = np.repeat(np.arange(len(starts)), counts)
+        #: For each upper node the level at which it has one node left.
+        self.top = np.zeros(len(starts), np.int64)
+        first = np.asarray(starts, np.int64)
+        # Masks of shared bits, their patterns, each node's first child and past-the-last row, and each upper node's first node.
+        self.levels = [(np.full(prints.shape, ~np.uint64(0)), prints, np.arange(n + 1), np.arange(1, n + 1), first)]
+        while (counts > 1).any():
+            self.top += counts > 1
+            mask, pattern, _, last, _ = self.levels[-1]
+            counts = -(-counts // FANOUT)
+            above = np.cumsum(counts) - counts
+            at = np.repeat(first, counts) + FANOUT * (np.arange(counts.sum()) - np.repeat(above, counts))
             shared = np.bitwise_and.reduceat(mask, at) & (np.bitwise_and.reduceat(pattern, at) | ~np.bitwise_or.reduceat(pattern, at))
-            self.levels.append((shared, pattern[at] & shared))
+            ends = np.append(at[1:], len(mask))
+            self.levels.append((shared, pattern[at] & shared, np.append(at, len(mask)), last[ends - 1], above))
+            first = above
 
     def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places i < j of all pairs with at most `radius` differing bits, some queries at a time."""
-        n, top = len(self.prints), len(self.levels) - 1
-        for first in range(0, n, TOGETHER):
-            ask = np.arange(first, min(n, first + TOGETHER))
-            roots = np.arange(len(self.levels[top][0]))
-            query, node = np.repeat(ask, len(roots)), np.tile(roots, len(ask))
-            done, seen = np.zeros(len(query), np.int64), None
-            for level in range(top, -1, -1):
-                mask, pattern = self.levels[level]
-                fresh = mask[node] if seen is None else mask[node] & ~seen
-                done = done + np.bitwise_count((self.prints[query] ^ pattern[node]) & fresh).sum(axis=1)
-                ahead = np.minimum((node + 1) * FANOUT**level, n) > query + 1 if level else node > query
-                near = (done <= radius) & ahead
-                query, node, done = query[near], node[near], done[near]
-                if not level:
-                    break
-                seen = np.repeat(mask[node], FANOUT, axis=0)
-                query, done = np.repeat(query, FANOUT), np.repeat(done, FANOUT)
-                node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                there = node < len(self.levels[level - 1][0])
-                query, node, done, seen = query[there], node[there], done[there], seen[there]
-            yield query, node
+        """Rows i < j of all pairs below one upper node with at most `radius` differing bits, some queries at a time. A query adds
+        up its differences from the shared bits on the way down; a group is left as soon as they exceed the radius."""
+        tops = self.top[self.upper]
+        for top in range(1, len(self.levels)):
+            every = np.flatnonzero(tops == top)
+            for k in range(0, len(every), TOGETHER):
+                query = every[k : k + TOGETHER]
+                node = self.levels[top][4][self.upper[query]]
+                done, seen = np.zeros(len(query), np.int64), None
+                for level in range(top, -1, -1):
+                    mask, pattern, child, last, _ = self.levels[level]
+                    fresh = mask[node] if seen is None else mask[node] & ~seen
+                    done = done + np.bitwise_count((self.prints[query] ^ pattern[node]) & fresh).sum(axis=1)
+                    ahead = last[node] > query + 1
+                    near = (done <= radius) & ahead
+                    if not level:
+                        near &= node > query
+                        query, node = query[near], node[near]
+                        break
+                    self.pruned += int((ahead & (done > radius)).sum())
+                    query, node, done = query[near], node[near], done[near]
+                    wide = child[node + 1] - child[node]
+                    seen = np.repeat(mask[node], wide, axis=0)
+                    query, done = np.repeat(query, wide), np.repeat(done, wide)
+                    node = np.repeat(child[node] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
+                yield query, node
 
 
 class Forest:
-    """Union of nodes by name; says which links joined two trees."""
+    """Union of nodes by name; a tree's root is its smallest node."""
 
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
@@ -163,21 +180,16 @@ class Forest:
         self.up.setdefault(min(a, b), min(a, b))
         return True
 
-
-def _group_links(names: np.ndarray, prints: np.ndarray, radius: int, forest: Forest) -> Iterator[tuple[int, int]]:
-    """Links that join the members of one large upper node, found through its tree."""
-    roots = np.array([forest.root(x) for x in names.tolist()])
-    for i, j in GrayTree(prints).pairs(radius):
-        apart = roots[i] != roots[j]
-        if apart.any():
-            for a, b in zip(names[i[apart]].tolist(), names[j[apart]].tolist(), strict=True):
-                if forest.joins(a, b):
-                    yield a, b
-            roots = np.array([forest.root(x) for x in names.tolist()])
+    def stars(self) -> pa.RecordBatch:
+        """Each node that isn't its own root, with its root."""
+        found = [(x, self.root(x)) for x in list(self.up)]
+        found = [x for x in found if x[0] != x[1]]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _walk_links(names: np.ndarray, prints: np.ndarray, radius: int, forest: Forest) -> Iterator[tuple[int, int]]:
-    """The same for a radius so wide that a tree hardly prunes: from each member to all within the radius that none has reached yet."""
+def _walk(names: np.ndarray, prints: np.ndarray, radius: int, forest: Forest) -> None:
+    """Join the members of one upper node by a radius so wide that a tree hardly prunes: from each member to all within the
+    radius that none has reached yet, so that one dense cluster is one pass."""
     left = np.arange(len(names))
     while len(left):
         reached, left = [int(left[0])], left[1:]
@@ -186,59 +198,52 @@ def _walk_links(names: np.ndarray, prints: np.ndarray, radius: int, forest: Fore
             near = np.bitwise_count(prints[left] ^ prints[i]).sum(axis=1) <= radius
             found, left = left[near], left[~near]
             reached += found.tolist()
-            for j in found.tolist():
-                if forest.joins(int(names[i]), int(names[j])):
-                    yield int(names[i]), int(names[j])
-
-
-def _links(groups: np.ndarray, names: np.ndarray, prints: np.ndarray, radius: int, forest: Forest) -> list[tuple[int, int]]:
-    """Links among rows sorted by upper node and Gray rank; only those that join two trees."""
-    cut = np.flatnonzero(np.diff(groups)) + 1
-    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(groups)]])
-    size = last - first
-    out: list[tuple[int, int]] = []
-    end = np.repeat(np.where(size <= LEAF, last, first), size)
-    for d in range(1, int(size[size <= LEAF].max(initial=1))):
-        i = np.arange(len(groups) - d)
-        i = i[i + d < end[:-d]]
-        i = i[np.bitwise_count(prints[i] ^ prints[i + d]).sum(axis=1) <= radius]
-        out += [(a, b) for a, b in zip(names[i].tolist(), names[i + d].tolist(), strict=True) if forest.joins(a, b)]
-    search = _group_links if radius * 8 < prints.shape[1] * 64 else _walk_links
-    for k in np.flatnonzero(size > LEAF):
-        out += search(names[first[k] : last[k]], prints[first[k] : last[k]], radius, forest)
-    return out
+            for j in names[found].tolist():
+                forest.joins(int(names[i]), j)
+
+
+def _join(groups: np.ndarray, names: np.ndarray, prints: np.ndarray, radius: int, forest: Forest) -> None:
+    """Join what is linked among rows sorted by upper node and Gray rank."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1])
+    if radius * 8 < prints.shape[1] * 64:
+        for i, j in GrayTrees(prints, starts).pairs(radius):
+            for a, b in zip(names[i].tolist(), names[j].tolist(), strict=True):
+                forest.joins(a, b)
+        return
+    ends = np.append(starts[1:], len(groups))
+    for first, last in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+        _walk(names[first:last], prints[first:last], radius, forest)
 
 
 def index_links(dealt: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) that connect all rows of `dealt` (node: long, prints: array<long>, bucket: long) which share a bucket and differ
-    in at most `radius` bits. Of the links within a task only those that join two trees leave it, so their number is linear."""
+    in at most `radius` bits: for each task, what it linked and the smallest node of it, so that their number is linear."""
     sorted_rows = dealt.select("bucket", "node", "prints").repartition("bucket").withColumn("rank", _rank_column(F.col("prints")[0])).sortWithinPartitions("bucket", "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held = Forest(), None
-
-        def out(part) -> pa.RecordBatch:
-            links = _links(*part, radius, forest)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
-
+        forest, held, size = Forest(), [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column(2).flatten().to_numpy().view(np.uint64)
-            part = batch.column(0).to_numpy(), batch.column(1).to_numpy(), flat.reshape(batch.num_rows, -1)
-            if held is not None:
-                part = tuple(np.concatenate(x) for x in zip(held, part, strict=True))
-            whole = int(np.searchsorted(part[0], part[0][-1]))  # the last bucket may go on
-            held = tuple(x[whole:] for x in part)
-            if whole:
-                yield out(tuple(x[:whole] for x in part))
-        if held is not None and len(held[0]):
-            yield out(held)
+            if batch.num_rows:
+                flat = batch.column(2).flatten().to_numpy().view(np.uint64)
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), flat.reshape(batch.num_rows, -1)))
+                size += batch.num_rows
+            if size >= CHUNK:
+                part = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                whole = int(np.searchsorted(part[0], part[0][-1]))  # the last bucket may go on
+                held, size = [tuple(x[whole:] for x in part)], size - whole
+                if whole:
+                    _join(*(x[:whole] for x in part), radius, forest)
+            if len(forest.up) > HELD:
+                yield forest.stars()
+                forest = Forest()
+        if size:
+            _join(*(np.concatenate(x) for x in zip(*held, strict=True)), radius, forest)
+        yield forest.stars()
 
     return sorted_rows.select("bucket", "node", "prints").mapInArrow(run, "a long, b long")
 
 
-def linked_fingerprints(prints: DataFrame, radius: int = 2) -> DataFrame:
+def linked_fingerprints(prints: DataFrame, folder: str, radius: int = 2) -> DataFrame:
     """(node, root) of every fingerprint in `prints` (column `node`, distinct longs) that another one is linked to, directly or not.
 
     The 64 bits are divided into radius + 1 blocks. Two fingerprints with at most `radius` differing bits agree in one of them,
@@ -255,7 +260,7 @@ def linked_fingerprints(prints: DataFrame, radius: int = 2) -> DataFrame:
         inner.append(F.array(*[F.xxhash64("bucket", F.lit(i), F.lit(j), F.col("node").bitwiseAND(F.lit(x))) for j, x in enumerate(_blocks(left, radius + 1))]))
     parts = F.element_at(F.array(*inner), F.col("upper.mask") + 1)
     dealt = dealt.join(large, "bucket", "left").select("node", F.explode(F.when(F.col("large"), parts).otherwise(F.array("bucket"))).alias("bucket"), F.array("node").alias("prints"))
-    return connected_components(index_links(dealt, radius))
+    return connected_components(index_links(dealt, radius), f"{folder}/components")
 
 
 def _blocks(bits, n: int) -> list[int]:
@@ -275,7 +280,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     rows = written(fingerprints(named, "text", words, ["id"]).select("row.id", F.col("out").alias("print")), f"{folder}/prints")
     distinct = written(rows.groupBy("print").agg(F.min("id").alias("least")), f"{folder}/distinct")
-    roots = linked_fingerprints(distinct.select(F.col("print").alias("node")), radius)
+    roots = linked_fingerprints(distinct.select(F.col("print").alias("node")), folder, radius)
     placed = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     placed = written(placed, f"{folder}/placed")
     components = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
@@ -375,8 +380,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of rows; closer texts are proposed more surely, and equal shingle sets always. Texts without words, null among them, are equal.
     `folder` is a work folder on shared storage, which the result reads from.
     """
+    named, decided = _decided(docs, id_col, text_col, words, similarity, recall, folder or work_dir(docs.sparkSession, "near-duplicates"))
+    return named.join(decided, "at").select("row", "id", "keep_id", "kept")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.999999, folder: str | None = None) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns. Only the numbers of the others are joined, so that texts don't move
+    as long as those are few enough for Spark to broadcast."""
+    folder = folder or work_dir(docs.sparkSession, "near-duplicates")
+    named, decided = _decided(docs, id_col, text_col, words, similarity, recall, folder)
+    gone = written(decided.where("not kept").select("at"), f"{folder}/gone")
+    return named.join(gone, "at", "left_anti").select("row.*")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, recall: float, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (row, id, at) and what becomes of each (at, keep_id, kept)."""
     spark = docs.sparkSession
-    folder = folder or work_dir(spark, "near-duplicates")
     named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.monotonically_increasing_id().alias("at"))
     named = written(named, f"{folder}/rows")
     texts = named.select("id", "at", F.col(f"row.{text_col}").cast("string").alias("text"))
@@ -386,62 +405,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = ["prints", "size", "sum"]
     sets = written(rows.groupBy(*same).agg(F.min("at").alias("node")), f"{folder}/sets")
 
-    prefixes = rows.select(F.col("at").alias("node"), "prints", "prefix").join(sets.select("node"), "node", "left_semi")
-    proposed = written(_proposed(prefixes, radius_of(similarity, 128, recall)), f"{folder}/proposed")
+    prefixes = rows.select(F.col("at").alias("node"), "prefix").join(sets.select("node"), "node", "left_semi")
+    shared = _shared(prefixes, folder)
+    radius = radius_of(similarity, 128, recall)
+    near_prints = lambda dealt: index_links(dealt.join(sets.select("node", "prints"), "node").withColumnRenamed("group", "bucket"), radius)
+    proposed = _connected(shared.withColumn("size", F.lit(1)), near_prints, MANY, f"{folder}/proposed")
+    remove(spark, f"{folder}/shared")
 
-    sized = written(proposed.join(sets.select("node", "size"), "node"), f"{folder}/sized")
-    sizes = written(sized.groupBy("root").agg(F.ceil((F.sum("size") + 1) / BLOCK).alias("blocks")), f"{folder}/sizes")
-    groups = _compared(sized.join(sizes, "root"), texts.select(F.col("at").alias("node"), "text"), words, similarity, folder)
+    members = proposed.join(sets.select("node", "size"), "node").select(F.col("root").alias("group"), "node", "size")
+    near_texts = lambda dealt: _verified(dealt.join(texts.select(F.col("at").alias("node"), "text"), "node"), words, similarity)
+    groups = _connected(members, near_texts, BLOCK, f"{folder}/compared")
+    remove(spark, f"{folder}/proposed")
 
     placed = rows.join(sets, same).select("at", "id", "node").join(groups, "node", "left").select("at", "id", F.coalesce("root", "node").alias("root"))
     placed = written(placed, f"{folder}/placed")
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "at")).alias("best"))
-    decided = placed.join(best, "root").select("at", F.col("best.id").alias("keep_id"), (F.col("at") == F.col("best.at")).alias("kept"))
-    return named.join(decided, "at").select("row", "id", "keep_id", "kept")
+    return named, placed.join(best, "root").select("at", F.col("best.id").alias("keep_id"), (F.col("at") == F.col("best.at")).alias("kept"))
 
 
-def _proposed(sets: DataFrame, radius: int) -> DataFrame:
-    """(node, root) of the nodes that links under any shingle of their prefixes connect: `sets` (node, prints, prefix).
+def _shared(sets: DataFrame, folder: str) -> DataFrame:
+    """(group, node) for the shingles of prefixes (node, prefix) that several nodes share.
 
-    The first shingles connect large groups of close texts; under the others a node goes by its root, so that links within what is
-    connected already are not made again for every shingle.
+    Most shingles are in one prefix only, so numbers alone are dealt first, and fingerprints later to what is shared. What a task
+    finds shared among its own rows isn't dealt but for one row, so that a shingle of very many rows is a row for each task.
     """
-    begun = F.slice("prefix", 1, FIRST_SHINGLES)
-    folder = work_dir(sets.sparkSession, "proposed")
-    sets = written(sets, f"{folder}/sets")
-    first = written(connected_components(index_links(sets.select("node", F.explode(begun).alias("bucket"), "prints"), radius)), f"{folder}/first")
-    rooted = sets.join(first, "node", "left").select(F.coalesce("root", "node").alias("node"), F.explode("prefix").alias("bucket"), "prints")
-    then = written(connected_components(index_links(rooted, radius)), f"{folder}/then")
-    lifted = first.join(then.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return lifted.unionByName(then.join(first, "node", "left_anti"))
-
 
-def _compared(members: DataFrame, texts: DataFrame, words: int, similarity: float, folder: str) -> DataFrame:
-    """(node, root) of the nodes that links of this similarity connect within their proposed groups: `members` (node, root, size, blocks).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            group, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((node, group))
+            group, node = group[order], node[order]
+            more = np.concatenate([group[1:] == group[:-1], [False]])  # the next row has the same shingle
+            kind = np.where(np.concatenate([[False], more[:-1]]), 2, more.astype(np.int8)).astype(np.int8)
+            for i in range(0, len(group), 1 << 14):
+                part = slice(i, i + (1 << 14))
+                yield pa.RecordBatch.from_arrays([pa.array(group[part]), pa.array(node[part]), pa.array(kind[part])], ["group", "node", "kind"])
 
-    A group's members are compared within their blocks, each of which also gets the group's first member. What that connects
+        for batch in batches:
+            lists = batch.column(1)
+            n = np.diff(lists.offsets.to_numpy())
+            held.append((lists.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), n)))
+            size += int(n.sum())
+            if size >= FLUSH:
+                yield from out()
+                held, size = [], 0
+        if size:
+            yield from out()
+
+    dealt = written(sets.select("node", "prefix").mapInArrow(run, "group long, node long, kind byte"), f"{folder}/dealt")
+    several = dealt.where("kind < 2").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("group"))).where("n > 1 or kind = 1")
+    shared = written(several.select("group", "node").unionByName(dealt.where("kind = 2").select("group", "node")), f"{folder}/shared")
+    remove(sets.sparkSession, f"{folder}/dealt")
+    return shared
+
+
+def _connected(members: DataFrame, links: Callable[[DataFrame], DataFrame], limit: int, folder: str) -> DataFrame:
+    """(node, root) of the nodes that links within the groups of `members` (group, node, size) connect. `links` finds them (a, b)
+    within every group of rows (group, node), which it is given in blocks of about `limit` in size.
+
+    A group's members are searched within their blocks, each of which also gets the group's first member. What that connects
     to the first member needs no more comparisons among itself; the rest of the group, mostly little, is compared with all of
     it, block by block. So a large group of close texts costs a pass over them, and no pair is left out that could join two parts.
     """
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    spark, hash_of = members.sparkSession, F.xxhash64
+    sizes = members.groupBy("group").agg(F.ceil((F.sum("size") + 1) / limit).alias("blocks"), F.min("node").alias("first"))
+    sizes = written(sizes.where("blocks > 1"), f"{folder}/sizes")
+    if sizes.isEmpty():
+        return connected_components(links(members.select("group", "node")), f"{folder}/near")
     block = F.pmod(F.hash("node"), F.col("blocks"))
-    dealt = F.when(F.col("node") == F.col("root"), numbers("blocks")).otherwise(F.array(block))
-    dealt = members.select("node", "root", F.explode(dealt).alias("block")).select("node", F.xxhash64("root", "block").alias("group"))
-    near = written(connected_components(_verified(dealt.join(texts, "node"), words, similarity)), f"{folder}/near")
-
-    large = members.where("blocks > 1").join(near.withColumnRenamed("root", "top"), "node", "left")
-    large = written(large.withColumn("joined", F.coalesce("top", "node") == F.col("root")), f"{folder}/large")
-    rest = large.where("not joined")
-    if rest.isEmpty():
+    placed = members.join(sizes, "group", "left")
+    whole = F.when(F.col("blocks").isNull(), F.array("group"))
+    dealt = whole.when(F.col("node") == F.col("first"), F.transform(numbers("blocks"), lambda b: hash_of("group", b))).otherwise(F.array(hash_of("group", block)))
+    near = connected_components(links(placed.select(F.explode(dealt).alias("group"), "node")), f"{folder}/near")
+
+    large = members.join(sizes, "group").join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = sizes.select("group", F.col("first").alias("node")).join(near, "node", "left").select("group", F.coalesce("root", "node").alias("first_root"))
+    large = written(large.join(roots, "group").withColumn("joined", F.col("root") == F.col("first_root")), f"{folder}/large")
+    shares = written(large.where("not joined").groupBy("group").agg(F.ceil((F.sum("size") + 1) / limit).alias("parts")), f"{folder}/shares")
+    if shares.isEmpty():
         return near
-    shares = written(rest.groupBy("root").agg(F.ceil((F.sum("size") + 1) / BLOCK).alias("parts")), f"{folder}/shares")
     part = F.pmod(F.hash("node", F.lit(1)), F.col("parts"))
-    among = F.transform(numbers("parts"), lambda y: F.xxhash64("root", F.lit("rest"), F.least(part, y), F.greatest(part, y)))
-    against = F.transform(numbers("blocks"), lambda y: F.xxhash64("root", F.lit("all"), part, y))
-    asked = F.transform(numbers("parts"), lambda x: F.xxhash64("root", F.lit("all"), x, block))
-    dealt = large.join(shares, "root").select("node", F.explode(F.when(F.col("joined"), asked).otherwise(F.concat(among, against))).alias("group"))
-    links = _verified(dealt.join(texts, "node"), words, similarity)
-    return connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+    among = F.transform(numbers("parts"), lambda y: hash_of("group", F.lit("rest"), F.least(part, y), F.greatest(part, y)))
+    against = F.transform(numbers("blocks"), lambda y: hash_of("group", F.lit("all"), part, y))
+    asked = F.transform(numbers("parts"), lambda x: hash_of("group", F.lit("all"), x, block))
+    dealt = large.join(shares, "group").select(F.explode(F.when(F.col("joined"), asked).otherwise(F.concat(among, against))).alias("group"), "node")
+    every = near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links(dealt))
+    every = connected_components(every, f"{folder}/every")
+    remove(spark, f"{folder}/large")
+    return every
 
 
 def _verified(texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -471,7 +525,8 @@ def _verified(texts: DataFrame, words: int, similarity: float) -> DataFrame:
 def similar_links(sets: list[tuple[int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
     """Links of at least this Jaccard similarity that connect all sets which any such links connect.
 
-    An inverted index over the shingles counts what each set shares with every other one. Sets without shingles are equal.
+    An inverted index over the shingles counts what a set shares with every other one: the first set, and then each that has not
+    been joined to it. Sets without shingles are equal.
     """
     sizes = np.array([len(s) for _, s in sets])
     every, flat = np.unique(np.concatenate([s for _, s in sets]), return_inverse=True)
@@ -480,17 +535,16 @@ def similar_links(sets: list[tuple[int, np.ndarray]], similarity: float) -> list
     first = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(every)))])
     of = np.concatenate([[0], np.cumsum(sizes)])
     forest, links = Forest(), []
-    empty = np.flatnonzero(sizes == 0)
     for k in range(len(sets)):
+        if k and forest.root(k) == 0:
+            continue
         mine = flat[of[k] : of[k + 1]]
-        n = first[mine + 1] - first[mine]
-        places = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(mine) else np.zeros(0, np.int64)
-        both = np.bincount(held[places], minlength=len(sets))[:k]
-        near = np.flatnonzero((both >= similarity * (sizes[k] + sizes[:k] - both) - 1e-9) & (both > 0)) if len(mine) else empty[empty < k]
+        if len(mine):
+            n = first[mine + 1] - first[mine]
+            places = np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(held[places], minlength=len(sets))
+            near = np.flatnonzero((both >= similarity * (sizes[k] + sizes - both) - 1e-9) & (both > 0))
+        else:
+            near = np.flatnonzero(sizes == 0)
         links += [(sets[j][0], sets[k][0]) for j in near.tolist() if forest.joins(j, k)]
     return links
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    return near_duplicates(docs, id_col, text_col, **options).where("kept").select("row.*")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -83,22 +84,40 @@ def test_query_on_the_table(spark, sf_dir):
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in rows) == [(i, f"{p:016x}", want[i]) for i, p in enumerate(prints)]
 
 
-@pytest.mark.parametrize("width", [1, 2])
-def test_the_tree_finds_all_pairs(width):
-    rng = np.random.default_rng(4)
-    base = rng.integers(0, 1 << 63, (20, width), dtype=np.uint64)
-    prints = base[rng.integers(0, 20, 700)].copy()
+def _scattered(seed, n, width, centres, edits):
+    rng = np.random.default_rng(seed)
+    prints = rng.integers(0, 1 << 63, (centres, width), dtype=np.uint64)[rng.integers(0, centres, n)]
     for row in prints:
-        for _ in range(rng.integers(0, 6)):
+        for _ in range(rng.integers(0, edits)):
             row[rng.integers(0, width)] ^= np.uint64(1) << np.uint64(rng.integers(0, 64))
-    prints = prints[np.argsort(simhash.gray_rank(prints[:, 0]), kind="stable")]
+    return prints
+
+
+@pytest.mark.parametrize("width", [1, 2])
+def test_the_trees_find_all_pairs_below_an_upper_node(width):
+    prints = _scattered(4, 700, width, 20, 6)
+    upper = np.sort(np.random.default_rng(5).integers(0, 40, 700) ** 2 // 50)
+    order = np.lexsort((simhash.gray_rank(prints[:, 0]), upper))
+    prints = prints[order]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(upper)) + 1])
     apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
     for radius in (0, 2, 5):
-        want = {(int(i), int(j)) for i, j in zip(*np.nonzero(apart <= radius), strict=True) if i < j}
-        got = [(int(a), int(b)) for i, j in simhash.GrayTree(prints).pairs(radius) for a, b in zip(i, j, strict=True)]
+        want = {(int(i), int(j)) for i, j in zip(*np.nonzero((apart <= radius) & (upper[:, None] == upper[None])), strict=True) if i < j}
+        got = [(int(a), int(b)) for i, j in simhash.GrayTrees(prints, starts).pairs(radius) for a, b in zip(i, j, strict=True)]
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_groups_are_pruned_by_their_shared_bits():
+    """Most groups are left at a node above their members, so that few members are looked at."""
+    prints = _scattered(6, 4096, 1, 64, 3)
+    prints = prints[np.argsort(simhash.gray_rank(prints[:, 0]), kind="stable")]
+    trees = simhash.GrayTrees(prints, np.array([0]))
+    found = sum(len(i) for i, _ in trees.pairs(2))
+    assert found and trees.pruned > 4096
+    loose = simhash.GrayTrees(prints, np.array([0]))
+    assert sum(len(i) for i, _ in loose.pairs(64)) == 4096 * 4095 // 2 and loose.pruned == 0
+
+
 def test_gray_rank_inverts_the_gray_code():
     n = np.arange(5000, dtype=np.uint64)
     assert (simhash.gray_rank(n ^ (n >> np.uint64(1))) == n).all()
@@ -152,17 +171,42 @@ def test_prefixes_of_similar_sets_meet():
             assert len(np.intersect1d(simhash.prefix(a, common, 0.8), simhash.prefix(b, common, 0.8)))
 
 
-@pytest.mark.parametrize("radius", [0, 16, 47])
-def test_the_walk_links_what_the_radius_connects(radius):
-    rng = np.random.default_rng(9)
-    prints = rng.integers(0, 1 << 63, (12, 2), dtype=np.uint64)[rng.integers(0, 12, 150)]
-    for row in prints:
-        for _ in range(rng.integers(0, 30)):
-            row[rng.integers(0, 2)] ^= np.uint64(1) << np.uint64(rng.integers(0, 64))
+@pytest.mark.parametrize("radius", [0, 2, 16, 47])
+def test_upper_nodes_join_what_the_radius_connects(radius):
+    prints = _scattered(9, 150, 2, 12, 30)
+    prints = prints[np.argsort(simhash.gray_rank(prints[:, 0]), kind="stable")]
     want = components(150, lambda i, j: int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= radius)
     forest = simhash.Forest()
-    links = list(simhash._walk_links(np.arange(150), prints, radius, forest))
-    assert [forest.root(i) for i in range(150)] == want and len(links) == 150 - len(set(want))
+    simhash._join(np.zeros(150, np.int64), np.arange(150), prints, radius, forest)
+    stars = dict(zip(*(c.to_pylist() for c in forest.stars().columns), strict=True))
+    assert [stars.get(i, i) for i in range(150)] == want
+
+
+def test_one_cluster_of_many_near_copies_is_a_pass_over_it():
+    """50,000 members of one upper node, all close to one another: bounded time, and no pairs held."""
+    prints = _scattered(10, 50_000, 2, 1, 12)
+    names = np.arange(50_000)
+    forest, began = simhash.Forest(), time.monotonic()
+    simhash._join(np.zeros(50_000, np.int64), names, prints, 47, forest)
+    assert time.monotonic() - began < 20 and len(forest.stars()) == 49_999
+    words = np.arange(300, dtype=np.uint64)
+    sets = [(i, np.delete(words, [i % 300, i * 7 % 300])) for i in range(3000)]
+    began = time.monotonic()
+    assert len(simhash.similar_links(sets, 0.8)) == 2999 and time.monotonic() - began < 20
+
+
+def test_shared_shingles_of_prefixes(spark, monkeypatch, tmp_path):
+    rng = random.Random(11)
+    lists = [(i, [rng.randrange(300) for _ in range(rng.randrange(6))]) for i in range(200)] + [(1000 + i, [7]) for i in range(500)]
+    lists = [(i, sorted(set(x))) for i, x in lists]
+    for flush in (1, 50, 1 << 21):
+        monkeypatch.setattr(simhash, "FLUSH", flush)
+        got = simhash._shared(spark.createDataFrame(lists, "node long, prefix array<long>").repartition(3), str(tmp_path / str(flush))).collect()
+        held = {}
+        for i, x in lists:
+            for h in x:
+                held.setdefault(h, []).append(i)
+        assert sorted((r.group, r.node) for r in got) == sorted((h, i) for h, x in held.items() for i in x if len(x) > 1)
 
 
 def test_large_groups_are_compared_block_by_block(spark, monkeypatch):
@@ -174,20 +218,28 @@ def test_large_groups_are_compared_block_by_block(spark, monkeypatch):
     assert sorted((r.id, r.keep_id) for r in rows) == list(enumerate(want))
 
 
-def test_a_group_that_only_chains_hold_together(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 700)
+@pytest.mark.parametrize("limit", [700, 1500, 10**6])
+def test_a_group_that_only_chains_hold_together(spark, tmp_path, limit):
     words = [f"w{i}" for i in range(420)]
     texts = [" ".join(words[4 * i : 4 * i + 100]) for i in range(80)] + [" ".join(words[4 * i : 4 * i + 100][::-1]) for i in range(9)] + ["w1 w2"]
     docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    members = docs.select("node", F.when(F.col("node") < 80, 0).when(F.col("node") < 89, 80).otherwise(89).cast("long").alias("root"), F.lit(96).cast("long").alias("size"))
-    sizes = members.groupBy("root").agg(F.ceil((F.sum("size") + 1) / simhash.BLOCK).alias("blocks"))
+    members = docs.select(F.when(F.col("node") < 80, 0).when(F.col("node") < 89, 80).otherwise(89).cast("long").alias("group"), "node", F.lit(96).alias("size"))
     sets = [set(shingles(t, 5)) for t in texts]
     want = components(len(texts), lambda i, j: _jaccard(sets[i], sets[j]) >= 0.8)
     assert len(set(want)) == 3
-    got = {r.node: r.root for r in simhash._compared(members.join(sizes, "root"), docs, 5, 0.8, simhash.work_dir(spark, "chains")).collect()}
+    got = simhash._connected(members, lambda dealt: simhash._verified(dealt.join(docs, "node"), 5, 0.8), limit, str(tmp_path / "c"))
+    got = {r.node: r.root for r in got.collect()}
     assert [got.get(i, i) for i in range(len(texts))] == want
 
 
+def test_large_upper_nodes_of_the_prefix_index_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MANY", 7)
+    texts = _edited(12, 90, LONG)
+    sets = [set(shingles(t, 5)) for t in texts]
+    want = components(len(texts), lambda i, j: _jaccard(sets[i], sets[j]) >= 0.8)
+    assert sorted((r.id, r.keep_id) for r in simhash.near_duplicates(awkward(spark, texts)).collect()) == list(enumerate(want))
+
+
 def test_repeated_rows_null_identifiers_and_empty_tables(spark):
     rows = [(7, LONG), (7, LONG), (None, LONG), (3, None), (None, None), (9, "other")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
