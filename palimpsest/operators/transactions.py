@@ -21,10 +21,3 @@ def reader_watermark(events: DataFrame, now: int) -> DataFrame:
     """The oldest live reader at `now`, else `now` itself: `events` (ev_ts, read_ts, d) register (1) and release (-1) readers."""
     live = events.where(F.col("ev_ts") <= F.lit(now)).groupBy("read_ts").agg(F.sum("d").alias("c")).where("c > 0")
     return live.agg(F.coalesce(F.min("read_ts"), F.lit(now).cast("long")).alias("watermark"))
-
-
-def fold_states(log: DataFrame, run: str = "id") -> DataFrame:
-    """Where each run of a manifest log (id, op) is: its last operation decides."""
-    rank = F.when(F.col("op") == "CompactedAway", 2).when(F.col("op") == "Flush", 1).otherwise(0)
-    last = log.groupBy(run).agg(F.max(rank).alias("r"))
-    return last.select(run, F.when(F.col("r") == 2, "gone").when(F.col("r") == 1, "l0").otherwise("imm").alias("state"))

@@ -1,7 +1,5 @@
-"""The engine's queries over the driver's tables, and their SQL.
-
-`events` is a version log: the key is the user, the time event_id + 1, and an `error` event a delete.
-"""
+"""The engine's queries over the driver's tables, and their SQL: operators as DataFrame transformations here, the store's own in
+`store_queries`."""
 
 from __future__ import annotations
 
@@ -11,31 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import bloom
 from ..functions.keys import UNBOUNDED, Bound, excluded, included
 from ..operators import runs as R
 from ..operators import transactions as X
 from ..operators import versions as V
-from .compaction import target_sizes
-
-NAMES = {"key": "k", "ts": "ts", "value": "v"}
-PROBE, LOW, HIGH, BEGIN = "00000007", "00000003", "00000052", "00000010"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    value = F.when(F.col("event_type") == "error", "").otherwise(F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")))
-    return e.select(F.lpad(F.col("user_id").cast("string"), 8, "0").alias("k"), (F.col("event_id") + 1).alias("ts"), value.alias("v"))
-
-
-def times(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
-    """The read time and the watermark: 60 and 30 % of the latest time."""
-    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
-    last = 0 if last is None else last + 1
-    return last * 6 // 10, last * 3 // 10
+from . import store_queries
+from .events import BEGIN, GC, HIGH, KV, LOW, NAMES, PROBE, RUNS, VIS, table, times, versions
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +51,10 @@ def watermark_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_merge_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks are the upper source, all other events the lower one."""
     kv = versions(spark, sf_dir)
-    return V.two_merge(kv.where("ts % 97 = 0"), kv.where("ts % 5 = 0"), ["k"]).select("k", "v", "src")
+    upper = F.col("v").startswith("click")
+    return V.two_merge(kv.where(upper), kv.where(~upper), ["k"]).select("k", "v", "src")
 
 
 def memtable_layering(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,19 +62,21 @@ def memtable_layering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def txn_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events after the read time are a transaction's own writes over what it reads."""
     kv, (rt, _) = versions(spark, sf_dir), times(spark, sf_dir)
-    local = V.newest(kv.where(F.col("ts") > rt).where("ts % 11 = 0"), None, **NAMES)
-    return V.overlay(V.newest(kv, rt, **NAMES), local, "k", "v")
+    return V.overlay(V.newest(kv, rt, **NAMES), V.newest(kv.where(F.col("ts") > rt), None, **NAMES), "k", "v")
 
 
 def occ_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is a transaction that reads and writes its key, and began 100 events before it commits."""
     kv = versions(spark, sf_dir)
-    reads = kv.where("ts % 10 = 0").select(F.col("ts").alias("txn"), (F.col("ts") - 100).alias("read_ts"), F.col("ts").alias("commit_ts"), "k")
-    return X.conflicts(reads, kv.where("ts % 10 = 5").select(F.col("ts").alias("commit_ts"), "k"), 100, "k")
+    reads = kv.select(F.col("ts").alias("txn"), (F.col("ts") - 100).alias("read_ts"), F.col("ts").alias("commit_ts"), "k")
+    return X.conflicts(reads, kv.select(F.col("ts").alias("commit_ts"), "k"), 100, "k")
 
 
 def reader_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kv = versions(spark, sf_dir).where("ts % 4 = 0")
+    """Every event begins a reader of its time, which ends 50 events later."""
+    kv = versions(spark, sf_dir)
     begun = kv.select(F.col("ts").alias("ev_ts"), F.col("ts").alias("read_ts"), F.lit(1).alias("d"))
     ended = kv.select((F.col("ts") + 50).alias("ev_ts"), F.col("ts").alias("read_ts"), F.lit(-1).alias("d"))
     return X.reader_watermark(begun.unionByName(ended), times(spark, sf_dir)[0])
@@ -105,13 +89,7 @@ def sst_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     kv = versions(spark, sf_dir)
     ranges = lambda g, name: kv.groupBy(g.cast("long").alias(name)).agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    tens = lambda k: F.floor(k.cast("long") / 10)
-    return R.overlapping(ranges(F.floor((F.col("ts") - 1) / 3), "src"), ranges(tens(F.col("k")), "dst"), tens)
-
-
-def level_target_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = target_sizes([0, 0, 0, 5000], base=1, shrink=1)
-    return spark.createDataFrame(list(enumerate(sizes)), "lvl int, sz long")
+    return R.overlapping(ranges(F.floor((F.col("ts") - 1) / 3), "src"), ranges(F.floor(F.col("k").cast("long") / 10), "dst"))
 
 
 def source_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,35 +100,16 @@ def source_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("lvl", F.row_number().over(W.orderBy(F.col("lvl") != 0, F.desc("score"))).cast("long").alias("priority"))  # four levels
 
 
-def compaction_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = V.watermark_gc(versions(spark, sf_dir), times(spark, sf_dir)[1], **NAMES)
-    runs = R.split_runs(kept, 8192, **NAMES)
-    size = F.length("k") + F.length("v") + 8
-    return runs.groupBy("sst_no").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_key"), F.max("k").alias("last_key"), F.max("ts").alias("max_ts"), F.sum(size).cast("long").alias("bytes"))
-
-
 def prefix_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.prefix_sizes(_runs(spark, sf_dir), 8, key="k")
 
 
 def bloom_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probed keys that are live: a Bloom filter of the live keys lets few others through to the join."""
     probe = table(spark, sf_dir, "orders").select(F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("k"))
-    return R.members(probe, snapshot_scan(spark, sf_dir), "k")
-
-
-def wal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kv = versions(spark, sf_dir)
-    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
-    wal = kv.where(F.col("ts") > last + 1 - 500)
-    best = F.max(F.struct("ts", "v"))
-    done = wal.groupBy("k").agg(best.alias("best"), F.count(F.lit(1)).alias("versions"), F.sum(F.length("k") + F.length("v")).cast("long").alias("bytes"))
-    return done.select("k", "best.v", "best.ts", "versions", "bytes")
-
-
-def manifest_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _runs(spark, sf_dir).select(F.col("run_id").alias("id")).distinct()
-    log = ids.withColumn("op", F.lit("NewMemtable")).unionByName(ids.where("id < 8").withColumn("op", F.lit("Flush"))).unionByName(ids.where("id < 5").withColumn("op", F.lit("CompactedAway")))
-    return X.fold_states(log)
+    live = snapshot_scan(spark, sf_dir)
+    bits, turns = bloom.shape(live.count())
+    return R.members(bloom.may_contain(probe, "k", bloom.build(live, "k", bits, turns), bits, turns), live, "k")
 
 
 def ycsb_update_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,32 +142,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reader_watermark": reader_watermark,
     "sst_stats": sst_stats,
     "key_range_overlap": key_range_overlap,
-    "level_target_sizes": level_target_sizes,
     "source_ranking": source_ranking,
-    "compaction_full": compaction_full,
     "prefix_compress": prefix_compress,
     "bloom_point_lookup": bloom_point_lookup,
-    "wal_replay": wal_replay,
-    "manifest_fold": manifest_fold,
     "ycsb_update_mix": ycsb_update_mix,
-}
-
-_KV = """kv AS (SELECT lpad(CAST(user_id AS varchar), 8, '0') AS k, event_id + 1 AS ts,
- CASE WHEN event_type = 'error' THEN '' ELSE concat(event_type, ':', CAST(event_id AS varchar)) END AS v FROM events),
- p AS (SELECT CAST(max(ts) * 6 // 10 AS bigint) AS rt, CAST(max(ts) * 3 // 10 AS bigint) AS wm FROM kv)"""
-_VIS = "vis AS (SELECT k, max_by(v, ts) AS v, max(ts) AS ts FROM kv WHERE ts <= (SELECT rt FROM p) GROUP BY k)"
-_RUNS = "runs AS (SELECT *, CAST(floor((ts - 1) / 1000) AS bigint) AS run_id FROM kv)"
-_GC = """r AS (SELECT k, ts, v, ts <= (SELECT wm FROM p) AS old,
- row_number() OVER (PARTITION BY k, ts <= (SELECT wm FROM p) ORDER BY ts DESC) AS n FROM kv)"""
-
+} | store_queries.QUERIES
 
 def _live(test: str) -> str:
-    return f"WITH {_KV}, {_VIS} SELECT k, v FROM vis WHERE v <> '' AND {test}"
+    return f"WITH {KV}, {VIS} SELECT k, v FROM vis WHERE v <> '' AND {test}"
 
 
 ORACLE_SQL: dict[str, str] = {
-    "snapshot_scan": f"WITH {_KV}, {_VIS} SELECT k, v, ts FROM vis WHERE v <> ''",
-    "time_dedup_with_tombstones": f"WITH {_KV}, {_VIS} SELECT k, v, ts FROM vis",
+    "snapshot_scan": f"WITH {KV}, {VIS} SELECT k, v, ts FROM vis WHERE v <> ''",
+    "time_dedup_with_tombstones": f"WITH {KV}, {VIS} SELECT k, v, ts FROM vis",
     "point_get": _live(f"k = '{PROBE}'"),
     "get_missing_key": _live("k = '--'"),
     "scan_incl_incl": _live(f"k >= '{LOW}' AND k <= '{HIGH}'"),
@@ -220,44 +166,34 @@ ORACLE_SQL: dict[str, str] = {
     "scan_unbounded_incl": _live(f"k <= '{HIGH}'"),
     "scan_unbounded_excl": _live(f"k < '{HIGH}'"),
     "seek_take_n": _live(f"k >= '{BEGIN}'") + " ORDER BY k LIMIT 5",
-    "no_deleted": f"WITH {_KV} SELECT k, ts, v FROM kv WHERE length(v) > 0",
-    "watermark_gc": f"WITH {_KV}, {_GC} SELECT k, ts, v FROM r WHERE NOT old OR (n = 1 AND v <> '')",
-    "two_merge_priority": f"""WITH {_KV}, u AS (SELECT k, ts, v, 0 AS src FROM kv WHERE ts % 97 = 0 UNION ALL SELECT k, ts, v, 1 FROM kv WHERE ts % 5 = 0),
+    "no_deleted": f"WITH {KV} SELECT k, ts, v FROM kv WHERE length(v) > 0",
+    "watermark_gc": f"WITH {KV}, {GC} SELECT k, ts, v FROM r WHERE NOT old OR (n = 1 AND v <> '')",
+    "two_merge_priority": f"""WITH {KV}, u AS (SELECT k, ts, v, CASE WHEN v LIKE 'click%' THEN 0 ELSE 1 END AS src FROM kv),
  r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY src, ts DESC) AS n FROM u) SELECT k, v, src FROM r WHERE n = 1""",
-    "memtable_layering": f"""WITH {_KV}, lay AS (SELECT k, ts, v, CAST(floor((ts - 1) / 100) AS bigint) AS layer FROM kv),
+    "memtable_layering": f"""WITH {KV}, lay AS (SELECT k, ts, v, CAST(floor((ts - 1) / 100) AS bigint) AS layer FROM kv),
  r AS (SELECT k, v, layer, row_number() OVER (PARTITION BY k ORDER BY layer DESC, ts DESC) AS n FROM lay) SELECT k, v, layer FROM r WHERE n = 1""",
-    "txn_overlay": f"""WITH {_KV}, {_VIS}, loc AS (SELECT k, max_by(v, ts) AS v FROM kv WHERE ts > (SELECT rt FROM p) AND ts % 11 = 0 GROUP BY k)
+    "txn_overlay": f"""WITH {KV}, {VIS}, loc AS (SELECT k, max_by(v, ts) AS v FROM kv WHERE ts > (SELECT rt FROM p) GROUP BY k)
  SELECT coalesce(l.k, s.k) AS k, coalesce(l.v, s.v) AS v, CASE WHEN l.k IS NULL THEN 'lsm' ELSE 'local' END AS src
  FROM vis s FULL OUTER JOIN loc l ON s.k = l.k WHERE coalesce(l.v, s.v) <> ''""",
-    "occ_conflict": f"""WITH {_KV}, t AS (SELECT ts AS txn, ts - 100 AS read_ts, ts AS commit_ts, k FROM kv WHERE ts % 10 = 0),
- w AS (SELECT ts AS commit_ts, k FROM kv WHERE ts % 10 = 5)
- SELECT t.txn, CASE WHEN count(w.k) > 0 THEN 1 ELSE 0 END AS conflict FROM t LEFT JOIN w ON t.k = w.k AND w.commit_ts > t.read_ts AND w.commit_ts < t.commit_ts GROUP BY t.txn""",
-    "reader_watermark": f"""WITH {_KV}, ev AS (SELECT ts AS ev_ts, ts AS read_ts, 1 AS d FROM kv WHERE ts % 4 = 0 UNION ALL SELECT ts + 50, ts, -1 FROM kv WHERE ts % 4 = 0),
+    "occ_conflict": f"""WITH {KV}, t AS (SELECT ts AS txn, ts - 100 AS read_ts, ts AS commit_ts, k FROM kv)
+ SELECT t.txn, CASE WHEN count(w.k) > 0 THEN 1 ELSE 0 END AS conflict FROM t LEFT JOIN kv w ON t.k = w.k AND w.ts > t.read_ts AND w.ts < t.commit_ts GROUP BY t.txn""",
+    "reader_watermark": f"""WITH {KV}, ev AS (SELECT ts AS ev_ts, ts AS read_ts, 1 AS d FROM kv UNION ALL SELECT ts + 50, ts, -1 FROM kv),
  live AS (SELECT read_ts, CAST(sum(d) AS bigint) AS c FROM ev WHERE ev_ts <= (SELECT rt FROM p) GROUP BY read_ts)
  SELECT coalesce((SELECT min(read_ts) FROM live WHERE c > 0), (SELECT rt FROM p)) AS watermark""",
-    "sst_stats": f"""WITH {_KV}, {_RUNS} SELECT run_id, count(*) AS n_entries, min(k) AS first_key, max(k) AS last_key, max(ts) AS max_ts,
+    "sst_stats": f"""WITH {KV}, {RUNS} SELECT run_id, count(*) AS n_entries, min(k) AS first_key, max(k) AS last_key, max(ts) AS max_ts,
  CAST(sum(length(k) + length(v)) AS bigint) AS approx_size, CAST(sum(CASE WHEN v = '' THEN 1 ELSE 0 END) AS bigint) AS tombstones FROM runs GROUP BY run_id""",
-    "key_range_overlap": f"""WITH {_KV}, s AS (SELECT CAST(floor((ts - 1) / 3) AS bigint) AS src, min(k) AS lo, max(k) AS hi FROM kv GROUP BY 1),
+    "key_range_overlap": f"""WITH {KV}, s AS (SELECT CAST(floor((ts - 1) / 3) AS bigint) AS src, min(k) AS lo, max(k) AS hi FROM kv GROUP BY 1),
  d AS (SELECT CAST(floor(CAST(k AS bigint) / 10) AS bigint) AS dst, min(k) AS lo, max(k) AS hi FROM kv GROUP BY 1)
  SELECT s.src, d.dst FROM s JOIN d ON s.lo <= d.hi AND d.lo <= s.hi""",
-    "level_target_sizes": "WITH RECURSIVE t(lvl, sz) AS (SELECT 3, CAST(5000 AS bigint) UNION ALL SELECT lvl - 1, CAST(floor(sz / 2) AS bigint) FROM t WHERE lvl > 0) SELECT lvl, sz FROM t",
-    "source_ranking": f"""WITH {_KV}, {_RUNS}, lv AS (SELECT run_id % 4 AS lvl, CAST(sum(length(k) + length(v)) AS bigint) * (run_id % 4 + 1) AS sz FROM runs GROUP BY run_id % 4),
+    "source_ranking": f"""WITH {KV}, {RUNS}, lv AS (SELECT run_id % 4 AS lvl, CAST(sum(length(k) + length(v)) AS bigint) * (run_id % 4 + 1) AS sz FROM runs GROUP BY run_id % 4),
  tgt AS (SELECT 0 AS lvl, CAST(20000 AS bigint) AS t UNION ALL SELECT 1, 90000 UNION ALL SELECT 2, 100000 UNION ALL SELECT 3, 200000),
  sc AS (SELECT lv.lvl, CAST(sz AS double) / CAST(t AS double) AS score FROM lv JOIN tgt ON lv.lvl = tgt.lvl)
  SELECT lvl, CAST(row_number() OVER (ORDER BY CASE WHEN lvl = 0 THEN 0 ELSE 1 END, score DESC) AS bigint) AS priority FROM sc WHERE score > 1.0""",
-    "compaction_full": f"""WITH {_KV}, {_GC}, g AS (SELECT k, ts, v, length(k) + length(v) + 8 AS sz FROM r WHERE NOT old OR (n = 1 AND v <> '')),
- c AS (SELECT *, sum(sz) OVER (ORDER BY k, ts DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM g)
- SELECT CAST(floor((cum - sz) / 8192) AS bigint) AS sst_no, count(*) AS n, min(k) AS first_key, max(k) AS last_key, max(ts) AS max_ts, CAST(sum(sz) AS bigint) AS bytes FROM c GROUP BY 1""",
-    "prefix_compress": f"""WITH {_KV}, {_RUNS}, d AS (SELECT run_id, k, min(k) OVER (PARTITION BY run_id) AS fk FROM runs),
+    "prefix_compress": f"""WITH {KV}, {RUNS}, d AS (SELECT run_id, k, min(k) OVER (PARTITION BY run_id) AS fk FROM runs),
  c AS (SELECT *, list_max(list_transform(range(0, 9), lambda i: CASE WHEN substr(k, 1, i) = substr(fk, 1, i) THEN i ELSE 0 END)) AS pl FROM d)
  SELECT run_id, CAST(sum(pl) AS bigint) AS shared_bytes, CAST(sum(length(k) - pl) AS bigint) AS suffix_bytes FROM c GROUP BY run_id""",
-    "bloom_point_lookup": f"""WITH {_KV}, {_VIS}, probe AS (SELECT DISTINCT lpad(CAST(o_custkey AS varchar), 8, '0') AS k FROM orders)
+    "bloom_point_lookup": f"""WITH {KV}, {VIS}, probe AS (SELECT DISTINCT lpad(CAST(o_custkey AS varchar), 8, '0') AS k FROM orders)
  SELECT p2.k FROM probe p2 WHERE EXISTS (SELECT 1 FROM vis WHERE vis.k = p2.k AND v <> '')""",
-    "wal_replay": f"""WITH {_KV}, wal AS (SELECT k, ts, v FROM kv WHERE ts > (SELECT max(ts) - 500 FROM kv))
- SELECT k, max_by(v, ts) AS v, max(ts) AS ts, count(*) AS versions, CAST(sum(length(k) + length(v)) AS bigint) AS bytes FROM wal GROUP BY k""",
-    "manifest_fold": f"""WITH {_KV}, {_RUNS}, ids AS (SELECT DISTINCT run_id FROM runs), log AS (SELECT run_id AS id, 'NewMemtable' AS op FROM ids
- UNION ALL SELECT run_id, 'Flush' FROM ids WHERE run_id < 8 UNION ALL SELECT run_id, 'CompactedAway' FROM ids WHERE run_id < 5)
- SELECT id, CASE WHEN max(CASE WHEN op = 'CompactedAway' THEN 1 ELSE 0 END) = 1 THEN 'gone' WHEN max(CASE WHEN op = 'Flush' THEN 1 ELSE 0 END) = 1 THEN 'l0' ELSE 'imm' END AS state FROM log GROUP BY id""",
     "ycsb_update_mix": """WITH ops AS (SELECT l_orderkey AS k, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq, l_quantity AS v FROM lineitem)
  SELECT k, max_by(v, seq) AS v, count(*) AS versions FROM ops GROUP BY k""",
-}
+} | store_queries.ORACLE_SQL

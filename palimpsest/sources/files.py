@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -18,6 +19,8 @@ class Files:
         self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self.root = root.rstrip("/")
         self.system = self._path("").getFileSystem(self.conf)
+        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.system.getUri(), self.conf)
+        self.no_options = SparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
 
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -39,7 +42,14 @@ class Files:
         return sorted(out)
 
     def read(self, name: str) -> bytes:
-        stream = self.system.open(self._path(name))
+        return self._read(self._path(name))
+
+    def read_path(self, address: str) -> bytes:
+        """The bytes of a file by its whole address."""
+        return self._read(self.jvm.org.apache.hadoop.fs.Path(address))
+
+    def _read(self, path) -> bytes:
+        stream = self.system.open(path)
         try:
             return bytes(stream.readAllBytes())
         finally:
@@ -55,12 +65,8 @@ class Files:
             stream.hsync()
         finally:
             stream.close()
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.system.getUri(), self.conf)
         try:
-            from pyspark import SparkContext
-
-            none = SparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
-            context.rename(hidden, self._path(name), none)
+            self.context.rename(hidden, self._path(name), self.no_options)
         except Exception as e:
             self.system.delete(hidden, False)
             if "FileAlreadyExists" in str(e):

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.functions.bloom import Bloom
+from palimpsest.functions import bloom
 from palimpsest.functions.keys import UNBOUNDED, VERSIONS, Bound, excluded, holds, included, overlaps, shared_prefix
 from palimpsest.operators import runs as R
 from palimpsest.operators import transactions as X
@@ -24,32 +24,59 @@ def shown(df):
     return sorted(f"{bytes(r.key).decode()}={bytes(r.value).decode()}" + (f"@{r.ts}" if "ts" in df.columns else "") for r in df.collect())
 
 
-@pytest.mark.parametrize(("order", "want"), [((0, 1, 2), "a=1.1 b=2.1 c=3.1 d=4.2 e="), ((2, 0, 1), "a=1.1 b=2.3 c=3.3 d=4.3 e=")])
-def test_merge_prefers_the_first_source(spark, order, want):
-    sources = [log(spark, x).select("key", "ts", "value") for x in ("a=1.1@1 b=2.1@1 c=3.1@1 e=@1", "a=1.2@1 b=2.2@1 c=3.2@1 d=4.2@1", "b=2.3@1 c=3.3@1 d=4.3@1")]
-    assert shown(V.merge([sources[i] for i in order]).drop("ts")) == want.split()
+def generated(seed, n, keys=6, dead=0.3):
+    """A log of distinct times: (key, ts, value)."""
+    rng = random.Random(seed)
+    return [(f"k{rng.randrange(keys)}".encode(), ts, b"" if rng.random() < dead else f"v{ts}".encode()) for ts in rng.sample(range(1, 4 * n), n)]
 
 
-def test_two_merge_and_keep_first(spark):
-    a, b = log(spark, "x=old@1 x=new@2 y=1@5"), log(spark, "x=b@9 z=3@1")
-    assert shown(V.two_merge(a, b).drop("ts")) == ["x=new", "y=1", "z=3"]
-    rows = spark.createDataFrame([(0, "00", "2333"), (1, "00", "2333333"), (2, "1", ""), (3, "2", "x")], "place int, key string, value string")
-    assert [(r.key, r.value) for r in V.keep_first(rows, ["key"], F.col("place")).orderBy("place").collect()] == [("00", "2333"), ("1", ""), ("2", "x")]
+def newest_of(rows, at):
+    out = {}
+    for k, ts, v in sorted(rows, key=lambda r: r[1]):
+        if ts <= at:
+            out[k] = (ts, v)
+    return out
 
 
-def test_newest_and_no_deleted(spark):
-    rows = log(spark, "a=a1@1 a=a2@2 a=a3@3 b=b2@2 c=c1@1 c=c3@3 d=@2 d=d1@1")
-    assert shown(V.newest(rows, 2)) == ["a=a2@2", "b=b2@2", "c=c1@1", "d=@2"]
-    assert shown(V.snapshot(rows, 2)) == ["a=a2@2", "b=b2@2", "c=c1@1"]
-    assert shown(V.snapshot(rows, 1)) == ["a=a1@1", "c=c1@1", "d=d1@1"] and shown(V.snapshot(rows, 0)) == []
-
-
-@pytest.mark.parametrize(("rows", "wm", "want"), [
-    ("a=a@0 b=b@0", 5, "a=a@0 b=b@0"), ("a=a@3 a=a@2 b=b@0", 2, "a=a@2 a=a@3 b=b@0"), ("a=a@3 a=a@2 b=b@5", 2, "a=a@2 a=a@3 b=b@5"),
-    ("a=a@2 a=a@1 b=b@5", 3, "a=a@2 b=b@5"), ("a=@2 a=a@1", 2, ""),
-])
-def test_watermark_gc(spark, rows, wm, want):
-    assert shown(V.watermark_gc(log(spark, rows), wm)) == want.split()
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merge_prefers_the_first_source(spark, seed):
+    sources = [generated(10 * seed + i, 12) for i in range(3)]
+    want = {}
+    for rows in reversed(sources):
+        want |= {k: v for k, (_, v) in newest_of(rows, 99).items()}
+    got = V.merge([spark.createDataFrame(rows, VERSIONS) for rows in sources]).collect()
+    assert {bytes(r.key): bytes(r.value) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_two_merge_and_keep_first(spark, seed):
+    upper, lower = generated(seed, 9), generated(seed + 50, 20)
+    got = {bytes(r.key): bytes(r.value) for r in V.two_merge(spark.createDataFrame(upper, VERSIONS), spark.createDataFrame(lower, VERSIONS)).collect()}
+    assert got == {k: v for rows in (lower, upper) for k, (_, v) in newest_of(rows, 99).items()}
+    placed = [(n, f"x{n * 7 % 5}", str(n)) for n in range(17)]
+    kept = V.keep_first(spark.createDataFrame(placed, "place int, key string, value string"), ["key"], F.col("place")).collect()
+    assert {r.key: r.value for r in kept} == {k: v for _, k, v in reversed(placed)} and len(kept) == 5
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_newest_and_no_deleted(spark, seed):
+    rows = generated(seed, 40)
+    df = spark.createDataFrame(rows, VERSIONS)
+    for at in (0, 1, 30, 80, 200):
+        want = newest_of(rows, at)
+        assert {bytes(r.key): (r.ts, bytes(r.value)) for r in V.newest(df, at).collect()} == want
+        assert {bytes(r.key): (r.ts, bytes(r.value)) for r in V.snapshot(df, at).collect()} == {k: x for k, x in want.items() if x[1]}
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+@pytest.mark.parametrize("tombstones", [False, True])
+def test_watermark_gc(spark, seed, tombstones):
+    rows = generated(seed, 40)
+    for wm in (0, 25, 90, 200):
+        old = {(k, ts, v) for k, (ts, v) in newest_of(rows, wm).items() if v or tombstones}
+        want = old | {r for r in rows if r[1] > wm}
+        got = V.watermark_gc(spark.createDataFrame(rows, VERSIONS), wm, keep_tombstones=tombstones).collect()
+        assert {(bytes(r.key), r.ts, bytes(r.value)) for r in got} == want and len(got) == len(want)
 
 
 def test_gc_keeps_tombstones_over_older_runs(spark):
@@ -108,8 +135,10 @@ def test_overlapping_ranges_as_by_brute_force(spark):
     rng = random.Random(3)
     make = lambda n: [(i, lo, lo + rng.choice([0, 1, 7, 60])) for i in range(n) for lo in [rng.randrange(200)]]
     a, b = make(60), make(50)
-    got = R.overlapping(spark.createDataFrame(a, "src long, lo long, hi long"), spark.createDataFrame(b, "dst long, lo long, hi long"), lambda k: F.floor(k / 10))
-    assert sorted(map(tuple, got.select("src", "dst").collect())) == sorted((i, j) for i, x, y in a for j, u, v in b if x <= v and u <= y)
+    tables = spark.createDataFrame(a, "src long, lo long, hi long"), spark.createDataFrame(b, "dst long, lo long, hi long")
+    for slot in (lambda k: F.floor(k / 10), None, R.quantile_slots(tables[1], 5, 11)):
+        got = R.overlapping(*tables, slot)
+        assert sorted(map(tuple, got.select("src", "dst").collect())) == sorted((i, j) for i, x, y in a for j, u, v in b if x <= v and u <= y)
 
 
 def test_running_size_and_split(spark):
@@ -144,12 +173,16 @@ def test_reader_watermark(spark):
     assert [X.reader_watermark(events, t).first()[0] for t in (0, 2, 3, 9)] == [0, 3, 5, 9]
 
 
-def test_bloom():
-    keys = [f"key{i}".encode() for i in range(2000)]
-    bloom = Bloom(keys)
-    assert bloom.turns == 6 and all(map(bloom.may_contain, keys))
-    wrong = sum(bloom.may_contain(f"other{i}".encode()) for i in range(10_000))
-    assert 0 < wrong < 300
+def test_bloom(spark):
+    keys = spark.range(2000).select(F.format_string("key%d", "id").alias("k"))
+    other = spark.range(10_000).select(F.format_string("other%d", "id").alias("k"))
+    bits, turns = bloom.shape(2000)
+    assert turns == 6 and 2000 * 10 <= bits < 2000 * 10 + 64
+    words = bloom.build(keys, "k", bits, turns)
+    assert words.count() <= bits // bloom.WORD and bloom.may_contain(keys, "k", words, bits, turns).count() == 2000
+    assert 0 < bloom.may_contain(other, "k", words, bits, turns).count() < 300
+    none = bloom.build(keys.limit(0), "k", bits, turns)
+    assert bloom.may_contain(other, "k", none, bits, turns).count() == 0
 
 
 def test_empty_tables(spark):
