@@ -2,49 +2,30 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_dir
+from ..session import made_dirs, remove, work_dir  # noqa: F401
 
 #: Bytes of text that one vectorised step works on; its temporaries take about 60 times as much.
 STEP_BYTES = 1 << 20
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A folder of this call's own in the shared folder. Results read from it lazily, so `cleanup` removes it, not the operator."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made(spark).append(path)
-    return path
-
-
-def _made(spark: SparkSession) -> list[str]:
-    if not hasattr(spark, "_palimpsest_work"):
-        spark._palimpsest_work = []
-    return spark._palimpsest_work
+#: Code points of a piece of a text in which spans are replaced.
+PIECE = 1024
 
 
 def cleanup(spark: SparkSession, name: str = "") -> None:
     """Remove the work folders of this session, or those made under `name`, once no result that reads from them is needed any more."""
-    made = _made(spark)
-    for gone in [p for p in made if p.rpartition("/")[2].startswith(name)]:
-        made.remove(gone)
+    for gone in [p for p in made_dirs(spark) if p.rpartition("/")[2].startswith(name)]:
         remove(spark, gone)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that no result reads from any more."""
-    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
-    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
-
-
 def written(df: DataFrame, path: str) -> DataFrame:
     """`df` as a Parquet table on shared storage: a lost executor costs a read, never the lineage."""
     df.write.mode("overwrite").parquet(path)
@@ -56,10 +37,61 @@ def bounded_batches(spark: SparkSession, records: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
 
 
+#: Let Spark filter the larger side of a join by a Bloom filter of the smaller one, however large the tables are.
+FILTERED = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, changed: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a while."""
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def text_or_empty(column) -> F.Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def running(values: Column, both) -> Column:
+    """`both` of all elements up to each one, by doubling: as many passes over the array as its size has binary digits."""
+    passes = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")
+    apart = F.transform(F.sequence(F.lit(0), passes), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(apart, values, lambda now, d: F.transform(now, lambda x, i: both(x, F.get(now, i - d))))
+
+
+def spans_replaced(found: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
+    """The columns inside `row` of `found`, with every one of `spans` (start, end, kind, by start) in `text_col` replaced by [KIND];
+    spans that overlap are replaced together, by the first one's kind. The text is cut into pieces first, so that no cut counts
+    its place from the beginning of a long text."""
+    body = text_or_empty(F.col(f"row.{text_col}"))
+    reach = running(F.transform("spans", lambda s: s["end"]), lambda x, before: F.greatest(x, before))
+    pieces = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    found = found.select("row", "spans", F.char_length(body).alias("size"), reach.alias("reach"), pieces.alias("pieces"))
+
+    def cut(a: Column, b: Column) -> Column:
+        first = F.floor(a / PIECE).cast("int")
+        some = F.array_join(F.slice("pieces", first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1), "")
+        return F.when(b <= a, "").otherwise(F.substr(some, a - first * PIECE + 1, b - a))
+
+    def step(s: Column, i: Column) -> Column:
+        before = F.coalesce(F.get("reach", i - 1), F.lit(0))
+        return F.when(s["start"] < before, "").otherwise(F.concat(cut(before, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+
+    rest = cut(F.coalesce(F.get("reach", F.size("reach") - 1), F.lit(0)), F.col("size"))
+    text = F.concat(F.array_join(F.transform("spans", step), ""), rest)
+    return found.select(*[(F.when(F.col(f"row.{c}").isNotNull(), text) if c == text_col else F.col(f"row.{c}")).alias(c) for c in columns])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its row offsets (one more than rows). Null counts as empty."""
     if column.null_count:

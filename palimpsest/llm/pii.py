@@ -1,7 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust their scores. All in the JVM.
 
-Each text is split at a kind's matches once; the lengths of the pieces give the matches' places, and the piece on either side
-of a match is its context, so the work is linear in the text.
+Each text is split at a kind's matches once; running totals of the pieces' lengths give the matches' places, and the piece on
+either side of a match is its context. So the work is linear in the text, but for a logarithm of the number of its matches.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import running, spans_replaced, text_or_empty
 
 # Every pattern takes the longest run from the leftmost start. The possessive quantifiers only keep the matcher from trying
 # shorter runs that cannot match either; \G lets a match start in the middle of a run where the match before it ended.
@@ -87,16 +87,15 @@ def _proposed(text: Column, pattern: str) -> tuple[Column, Column]:
 def _located(gaps: Column, hits: Column) -> Column:
     """Start, end, value and context of each hit, from the pieces around the hits."""
     parts = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), F.slice(gaps, 2, F.size(hits)).alias("rest"))
-    none = F.array().cast("array<struct<start:int,end:int,value:string,context:string>>")
+    lengths = F.zip_with(gaps, hits, lambda gap, hit: F.char_length(gap) + F.coalesce(F.char_length(hit), F.lit(0)))
+    ends = running(F.slice(lengths, 1, F.size(hits)), lambda x, before: x + F.coalesce(before, F.lit(0)))
 
-    def step(done: Column, part: Column) -> Column:
-        start = done["at"] + F.char_length(part["gap"])
-        end = start + F.char_length(part["hit"])
+    def span(part: Column, end: Column) -> Column:
         around = F.lower(F.concat_ws(" ", F.right(part["gap"], F.lit(BEFORE)), F.left(part["rest"], F.lit(AFTER))))
-        span = F.struct(start.alias("start"), end.alias("end"), part["hit"].alias("value"), around.alias("context"))
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+        return F.struct((end - F.char_length(part["hit"])).alias("start"), end.alias("end"), part["hit"].alias("value"), around.alias("context"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda done: done["spans"])
+    none = F.array().cast("array<struct<start:int,end:int,value:string,context:string>>")
+    return F.when(F.size(hits) == 0, none).otherwise(F.zip_with(parts, ends, span))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -128,13 +127,5 @@ def span_list(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with every span's value in `text_col` replaced by [KIND]; of overlapping spans the one that starts first counts."""
-    found = find_pii(docs, text_col)
-    body = text_or_empty(F.col(f"row.{text_col}"))
-
-    def step(done: Column, s: Column) -> Column:
-        piece = F.concat(done["text"], F.substr(body, done["at"] + 1, s["start"] - done["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] < done["at"], done).otherwise(F.struct(s["end"].alias("at"), piece.alias("text")))
-
-    text = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step, lambda d: F.concat(d["text"], F.substr(body, d["at"] + 1)))
-    return found.select(*[(F.when(F.col(f"row.{c}").isNotNull(), text) if c == text_col else F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    """`docs` with every span's value in `text_col` replaced by [KIND]; spans that overlap are replaced together, by the first one's kind."""
+    return spans_replaced(find_pii(docs, text_col), text_col, docs.columns)

@@ -11,11 +11,10 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_texts, text_or_empty
+from .common import map_texts, spans_replaced
 
 
 @dataclass(frozen=True)
@@ -344,15 +343,5 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: list[Rule] | No
 
 
 def masked(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """`docs` with every secret in `text_col` replaced by [KIND]; of overlapping ones the one that starts first counts."""
-    found = find_secrets(docs, text_col, rules)
-    body = text_or_empty(F.col(f"row.{text_col}"))
-
-    def step(done: Column, s: Column) -> Column:
-        piece = F.concat(done["text"], F.substr(body, done["at"] + 1, s["start"] - done["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] < done["at"], done).otherwise(F.struct(s["end"].alias("at"), piece.alias("text")))
-
-    text = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step, lambda d: F.concat(d["text"], F.substr(body, d["at"] + 1)))
-    return found.select(*[(F.when(F.col(f"row.{c}").isNotNull(), text) if c == text_col else F.col(f"row.{c}")).alias(c) for c in docs.columns])
-
-
+    """`docs` with every secret in `text_col` replaced by [KIND]; those that overlap are replaced together, by the first one's kind."""
+    return spans_replaced(find_secrets(docs, text_col, rules), text_col, docs.columns)

@@ -1,9 +1,11 @@
 import hashlib
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from palimpsest.llm import pii
+from palimpsest.llm import common, pii
 from palimpsest.llm.queries import op4_pii
 
 from .fixtures import SCHEMA, awkward, edge_texts, fuzz
@@ -89,6 +91,32 @@ def test_redacted_keeps_rows_columns_and_nulls(spark):
     assert [r.text for r in out.orderBy("doc_id").collect()] == [None, "", "write [EMAIL], [IP]", "x"]
 
 
+def test_redacted_texts_hold_no_span(spark, texts, monkeypatch):
+    monkeypatch.setattr(common, "PIECE", 7)
+    docs = awkward(spark, texts)
+    spans = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in pii.find_pii(docs).select("row.doc_id", "spans").collect()}
+    for r in pii.redacted(docs).collect():
+        text, out, at = texts[r.doc_id], [], 0
+        for a, b, k in spans[r.doc_id]:
+            if a >= at:
+                out += [text[at:a], f"[{k.upper()}]"]
+            at = max(at, b)
+        assert r.text == (None if text is None else "".join(out) + text[at:])
+
+
+@pytest.mark.parametrize("made", [lambda n: "a@b.c " * n, lambda n: "1.2.3.4 " * n, lambda n: "+1 234 567 890, " * n, lambda n: "4111111111111111x" * n])
+def test_long_texts_full_of_matches(spark, made):
+    """Megabytes of matches take seconds; the places are right to the last one."""
+    n = 150_000
+    docs = spark.createDataFrame([(1, made(n))], "doc_id long, text string")
+    began = time.monotonic()
+    found = pii.find_pii(docs).select(F.size("spans").alias("n"), F.element_at("spans", -1).alias("last")).first()
+    assert found.n == n and made(n)[found.last.start : found.last.end] == found.last.value and found.last.end > len(made(n)) - 3
+    text = pii.redacted(docs).first().text
+    assert text.count("[") == n and not re.search("[0-9@]", text)
+    assert time.monotonic() - began < 90
+
+
 def test_empty_table_and_no_python(spark):
     found = pii.find_pii(spark.createDataFrame([], SCHEMA))
     assert found.count() == 0
