@@ -1,8 +1,9 @@
 """A deterministic sharded WARC writer, and a reader that checks what it reads.
 
-Records are range-sorted by identifier into shards whose bounds follow from the data alone. A task writes a shard's files one
-after the other, rolls to the next by compressed size, and names a file only when it is whole. A shard counts once its manifest
-has its name, an archive once the top manifest has; a task that runs again writes the same bytes under the same names.
+Records are range-sorted by identifier, then by payload digest, into shards whose bounds are quantiles that follow from the data
+alone. A task writes a shard's files one after the other, rolls to the next by compressed size, and names a file only when it is
+whole. A shard counts once its manifest has its name, an archive once the top manifest has; a task that runs again writes the
+same bytes under the same names.
 """
 
 from __future__ import annotations
@@ -14,21 +15,24 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, text_or_empty
 
-#: Payload bytes of a shard, compressed bytes of a file, and ranges of identifiers whose sizes the driver sees.
-SHARD_BYTES, ROLL_BYTES, RANGES = 32 << 20, 8 << 20, 1 << 14
+#: Payload bytes of a shard and compressed bytes of a file.
+SHARD_BYTES, ROLL_BYTES = 32 << 20, 8 << 20
 #: What a record counts towards its shard besides its payload, so that a shard of empty payloads has an end too.
 RECORD_BYTES = 512
-#: Most tasks of a writer or reader; with more shards than that a task takes several, one after the other.
-TASKS = 1 << 15
+#: Most shards, each a task's work; an archive too large for those has larger shards, of more files.
+SHARDS = 1 << 15
+#: Records whose places say where shards begin: so many at least, and so many for each shard. The driver sees those.
+SAMPLE, SHARD_SAMPLE = 20_000, 16
 #: All records carry one date, so that equal input gives equal archives.
 DATE = "2020-01-01T00:00:00Z"
 #: Record identifiers are name-based in this space.
@@ -130,27 +134,36 @@ class _ShardWriter:
         return name, sum(f["records"] for f in self.files)
 
 
-def _shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """The rows with their `shard`, and the number of shards. The driver sees the size of at most RANGES + 1 ranges.
+def _bounds(rows: DataFrame, shard_bytes: int) -> list[tuple[int, int]]:
+    """The places (key, part) at which shards after the first begin: quantiles by size over a sample that a hash of the rows picks,
+    so that equal rows have equal bounds however they are divided into partitions."""
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    shards = max(1, min(SHARDS, -(-total // shard_bytes)))
+    if shards == 1:
+        return []
+    cells = 1 << 30
+    share = min(1.0, max(SAMPLE, SHARD_SAMPLE * shards) / n)
+    picked = F.pmod(F.xxhash64("page_id", "url", "payload"), F.lit(cells)) < int(share * cells)
+    found = (rows.where(picked) if share < 1 else rows).groupBy("key", "part").agg(F.sum("size").alias("size")).toArrow()
+    key, part, size = (found.column(c).to_numpy() for c in ("key", "part", "size"))
+    order = np.lexsort((part, key))
+    before = np.cumsum(size[order]) - size[order]
+    at = np.unique(np.searchsorted(before, before[-1] * np.arange(1, shards) / shards + 1)) if len(order) else np.zeros(0, np.int64)
+    at = order[at[at < len(order)]]
+    return list(zip(key[at].tolist(), part[at].tolist(), strict=True))
 
-    A range that holds much more than a shard, such as one of a single identifier, is dealt by payload digest instead.
-    """
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // RANGES + 1
-    rows = rows.withColumn("range", F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(-1)).cast("long"))
-    plan, shard, held = [], 0, 0
-    for r, size in sorted(tuple(x) for x in rows.groupBy("range").agg(F.sum("size")).toLocalIterator()):
-        if held and held + size > shard_bytes:
-            shard, held = shard + 1, 0
-        parts = max(1, round(size / shard_bytes))
-        plan.append((r, shard, parts))
-        held += size
-        if parts > 1:
-            shard, held = shard + parts, 0
-    plan_rows = rows.sparkSession.createDataFrame(plan, "range long, first long, parts long")  # at most RANGES + 1 rows
-    part = F.pmod(F.conv(F.substring("sha256", 1, 8), 16, 10).cast("long"), F.col("parts"))
-    return rows.join(F.broadcast(plan_rows), "range").withColumn("shard", F.col("first") + part).drop("range", "first", "parts"), shard + 1
+
+def _shard(bounds: list[tuple[int, int]]) -> Column:
+    """How many bounds a row's place is not before, by binary search."""
+    keys, parts = (F.from_json(F.lit(json.dumps([b[i] for b in bounds])), "array<bigint>") for i in (0, 1))
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+
+    def step(at: Column, width: Column) -> Column:
+        key, part = F.get(keys, at + width - 1), F.get(parts, at + width - 1)
+        behind = (key < F.col("key")) | ((key == F.col("key")) & (part <= F.col("part")))
+        return F.when(behind, at + width).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step) if bounds else F.lit(0)
 
 
 def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> None:
@@ -159,25 +172,29 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     The payload is the text of `payload_col` in UTF-8 (null: empty). Of rows with equal payloads the one with the smallest
     identifier (null last; of rows that tie, one) becomes a response, the others revisits of it. Rows without an identifier
     or address have records without those headers. Other columns are not written. An empty table gives an archive of no shards.
+    Rows of one identifier are divided by their payloads; only rows equal in both always share a shard.
     """
     spark = pages.sparkSession
     bounded_batches(spark, 128)
     payload = text_or_empty(pages[payload_col])
-    rows = pages.select(
-        pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"),
-        F.sha2(payload.cast("binary"), 256).alias("sha256"), (F.octet_length(payload) + RECORD_BYTES).cast("long").alias("size"),
-    )
-    rows, n = _shards(rows, shard_bytes)
+    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
+    sha256 = F.sha2(F.col("payload").cast("binary"), 256)
+    rows = rows.withColumns({
+        "sha256": sha256, "size": (F.octet_length("payload") + RECORD_BYTES).cast("long"),
+        "key": F.coalesce("page_id", F.lit((1 << 63) - 1)), "part": F.conv(F.substring(sha256, 1, 15), 16, 10).cast("long"),
+    })
+    bounds = _bounds(rows, shard_bytes)
+    rows, n = rows.withColumn("shard", _shard(bounds)), len(bounds) + 1
     # Where payloads repeat, a note with the first identifier goes ahead of a shard's records. Notes come from what each shard says of
     # a payload, counted before the shuffle, so a payload that most rows share is a row for each shard and not for each page.
     told = rows.groupBy("sha256", "shard").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n"))
     same = W.partitionBy("sha256")
     notes = told.select("sha256", "shard", F.min("least").over(same).alias("first_id"), F.sum("n").over(same).alias("copies")).where("copies > 1")
     none = F.lit(None).cast("string")
-    notes = notes.select(F.lit(None).cast("long").alias("page_id"), none.alias("url"), none.alias("payload"), "sha256", "shard", "first_id", F.lit(0).alias("kind"))
-    records = rows.select("page_id", "url", "payload", "sha256", "shard", F.lit(None).cast("long").alias("first_id"), F.lit(1).alias("kind"))
-    # More partitions than shards, so that few tasks get several.
-    dealt = records.unionByName(notes).repartition(min(4 * n, TASKS), "shard").sortWithinPartitions("shard", "kind", F.asc_nulls_last("page_id"), "sha256", "url")
+    notes = notes.select(F.lit(None).cast("long").alias("page_id"), none.alias("url"), none.alias("payload"), "sha256", "shard", "first_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("key"))
+    records = rows.select("page_id", "url", "payload", "sha256", "shard", F.lit(None).cast("long").alias("first_id"), F.lit(1).alias("kind"), "key")
+    # A task for each shard, by number: no hash can lay several into one.
+    dealt = records.unionByName(notes).repartitionById(n, "shard").sortWithinPartitions("shard", "kind", "key", "sha256", F.asc_nulls_last("page_id"), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, writer, done, last, copy, firsts = _Folder(folder), None, [], None, 0, {}
@@ -196,7 +213,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         done += [(writer.shard, *writer.finish())] if writer else []
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], ["shard", "manifest", "records"])
 
-    shards = sorted(tuple(r) for r in dealt.mapInArrow(run, "shard long, manifest string, records long").collect())  # a row for each shard
+    shards = sorted(tuple(r) for r in dealt.mapInArrow(run, "shard long, manifest string, records long").collect())  # at most SHARDS rows
     place = _Folder(folder)
     place.put(json.dumps([{"shard": s, "manifest": m, "records": r} for s, m, r in shards], indent=1).encode(), "manifest.json")
     place.files.delete_dir(f"{place.path}/_temporary")
@@ -242,14 +259,14 @@ def read_archive(spark: SparkSession, folder: str, payloads: bool = True) -> Dat
     schema = T._parse_datatype_string(_RECORD)
     if not shards:
         return spark.createDataFrame([], schema)
-    names = spark.createDataFrame([(s["manifest"],) for s in shards], "manifest string").repartition(min(4 * len(shards), TASKS), "manifest")
+    manifests = [s["manifest"] for s in shards]  # at most SHARDS names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = pyarrow.fs.FileSystem.from_uri(folder)
         rows, size = [], 0
         for batch in batches:
-            for manifest in batch.column(0).to_pylist():
-                with files.open_input_stream(f"{path}/{manifest}", compression=None) as f:
+            for i in batch.column(0).to_pylist():
+                with files.open_input_stream(f"{path}/{manifests[i]}", compression=None) as f:
                     listed = json.loads(f.read())
                 for one in listed:
                     with files.open_input_stream(f"{path}/{one['file']}", compression=None) as f:
@@ -267,7 +284,7 @@ def read_archive(spark: SparkSession, folder: str, payloads: bool = True) -> Dat
         if rows:
             yield _batch(rows)
 
-    return names.mapInArrow(run, schema)
+    return spark.range(0, len(manifests), 1, len(manifests)).mapInArrow(run, schema)
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:

@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import json
 import os
+import random
 
 import pytest
 
@@ -106,6 +107,47 @@ def test_a_shard_of_empty_payloads_ends_and_a_second_run_finds_its_files(spark,
         assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in _read(spark, f"file://{tmp_path}/a").collect()) == brute(rows)
 
 
+def _shard_ids(folder):
+    out = []
+    for shard in json.load(open(f"{folder}/manifest.json")):
+        ids = []
+        for one in json.load(open(f"{folder}/{shard['manifest']}")):
+            with open(f"{folder}/{one['file']}", "rb") as f:
+                ids += [warc.parse(x)["page_id"] for x in warc.members(f)]
+        out.append(ids)
+    return out
+
+
+@pytest.mark.parametrize("ids", [
+    [1, 2, 3, 4, 2**62], [-(2**63), -5, 0, 7, 2**63 - 1], list(range(60)) + [2**40 + i for i in range(60)], [i**9 - 10**12 for i in range(120)], [7] * 100 + [8, 9],
+])
+@pytest.mark.parametrize("most", [1 << 15, 3])
+def test_shards_are_ranges_however_identifiers_lie(spark, tmp_path, monkeypatch, ids, most):
+    """An outlying identifier, both ends of long, crowds, one identifier for nearly all; and more data than the shards there may be."""
+    monkeypatch.setattr(warc, "SHARDS", most)
+    rows = [(i, "u", f"text {n} of {i}", None, None, 1) for n, i in enumerate(ids)]
+    random.Random(1).shuffle(rows)
+    folder = f"{tmp_path}/a"
+    warc.write_archive(spark.createDataFrame(rows, SCHEMA).repartition(3), f"file://{folder}", shard_bytes=2 * warc.RECORD_BYTES)
+    shards = _shard_ids(folder)
+    assert [x for s in shards for x in s] == sorted(ids)
+    assert len(shards) <= most and (len(shards) == most or max(map(len, shards)) <= 4)
+    assert max(map(len, shards)) <= 2 + 2 * len(ids) / len(shards)
+    assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in _read(spark, f"file://{folder}").collect()) == brute(rows)
+
+
+def test_bounds_of_a_sample(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SAMPLE", 100)
+    rows = [(i * i, "u", f"<p>{i}</p>", None, None, 1) for i in range(3000)]
+    names = []
+    for name, parts in (("a", 2), ("b", 5)):
+        warc.write_archive(spark.createDataFrame(rows, SCHEMA).repartition(parts), f"file://{tmp_path}/{name}", shard_bytes=3000 * warc.RECORD_BYTES // 8)
+        names.append(sorted((f, open(f"{tmp_path}/{name}/{f}", "rb").read()) for f in os.listdir(f"{tmp_path}/{name}")))
+    assert names[0] == names[1]
+    shards = _shard_ids(f"{tmp_path}/a")
+    assert [x for s in shards for x in s] == [i * i for i in range(3000)] and 8 <= len(shards) <= 9 and max(map(len, shards)) < 3 * 3000 / 8
+
+
 def test_empty_table(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/a")
     assert _read(spark, f"file://{tmp_path}/a").count() == 0
