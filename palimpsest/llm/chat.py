@@ -11,62 +11,128 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, work_dir, written
+from .common import bounded_batches, remove, work_dir, written
 
 _BLOCK = re.compile(r"<(tool_call|tool_result)>(.*?)</\1>", re.DOTALL)
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+#: Keywords that are checked, and those that say nothing about a value. A schema with any other is refused.
+_CHECKED = set("type enum const required properties additionalProperties items minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern minItems maxItems uniqueItems minProperties maxProperties anyOf oneOf allOf not".split())
+_SILENT = set("title description default examples format deprecated readOnly writeOnly $schema $id $comment".split())
 #: Characters of all schemas together, which go to every executor.
 SCHEMA_CHARS = 4_000_000
-_EVENT = "conv_id long, turn long, part long, role string, kind string, call_id string, name string, arguments string, content string, uses array<string>, error string"
+#: Levels of nested JSON; a deeper block stays text.
+DEPTH = 100
+#: Uses of results in one conversation that one task puts in order; a longer conversation is put in order by rounds of joins.
+USES = 200_000
+_EVENT = "turn long, part long, role string, kind string, call_id string, name string, arguments string, content string, uses array<string>, error string"
 
 
 def canonical(value: object) -> str:
-    """JSON with sorted keys, without blanks, in plain UTF-8."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
-
-
-def schema_errors(value: object, schema: dict, at: str = "$") -> list[str]:
-    """Where a value differs from a schema: type, enum, const, required, properties, additionalProperties, items, minimum, maximum, minLength, maxLength, pattern."""
-    if isinstance(value, dict) and set(value) == {"$result"}:
-        return []  # what it stands for is known only when the call is made
+    """JSON with sorted keys, without blanks, in plain UTF-8; halves of surrogate pairs, which UTF-8 can't hold, stay escaped."""
+    return _whole(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
+
+
+def _whole(text: str) -> str:
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _same(a: object, b: object) -> bool:
+    """Equality of JSON values: true isn't 1, but 1 is 1.0."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
+
+
+def check_schema(schema: object, at: str = "#") -> None:
+    """Raise unless every keyword of the schema is one that `schema_errors` checks or that says nothing."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at} is no schema")
+    if unknown := sorted(set(schema) - _CHECKED - _SILENT):
+        raise ValueError(f"{at}: keywords that are not supported: {', '.join(unknown)}")
+    if "pattern" in schema:
+        re.compile(schema["pattern"])
+    if schema.get("multipleOf", 1) <= 0:
+        raise ValueError(f"{at}: multipleOf must be positive")
+    below = [*schema.get("properties", {}).items(), *[(k, schema[k]) for k in ("additionalProperties", "items", "not") if k in schema]]
+    for k in ("anyOf", "oneOf", "allOf"):
+        below += [(f"{k}/{i}", x) for i, x in enumerate(schema.get(k, []))]
+    for k, x in below:
+        check_schema(x, f"{at}/{k}")
+
+
+def schema_errors(value: object, schema: dict | bool, at: str = "$") -> list[str]:
+    """Where a value differs from a schema that `check_schema` has passed."""
+    if schema is True or isinstance(value, dict) and set(value) == {"$result"}:
+        return []  # what a result stands for is known only when the call is made
+    if schema is False:
+        return [f"{at}: not allowed"]
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(_is(value, k) for k in kinds):
         return [f"{at}: not {' or '.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         out.append(f"{at}: not in enum")
-    if "const" in schema and value != schema["const"]:
+    if "const" in schema and not _same(value, schema["const"]):
         out.append(f"{at}: not the constant")
     if isinstance(value, dict):
         known = schema.get("properties", {})
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
+        out += _sized(len(value), schema, "Properties", at)
         for k, v in value.items():
-            if k in known:
-                out += schema_errors(v, known[k], f"{at}.{k}")
-            elif isinstance(more := schema.get("additionalProperties", True), dict):
-                out += schema_errors(v, more, f"{at}.{k}")
-            elif not more:
-                out.append(f"{at}.{k}: not allowed")
-    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+            out += schema_errors(v, known.get(k, schema.get("additionalProperties", True)), f"{at}.{k}")
+    if isinstance(value, list):
+        out += _sized(len(value), schema, "Items", at)
+        if schema.get("uniqueItems") and any(_same(x, y) for i, x in enumerate(value) for y in value[:i]):
+            out.append(f"{at}: repeated items")
         for i, v in enumerate(value):
-            out += schema_errors(v, schema["items"], f"{at}[{i}]")
+            out += schema_errors(v, schema.get("items", True), f"{at}[{i}]")
     if isinstance(value, str):
-        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
-            out.append(f"{at}: length")
+        out += _sized(len(value), schema, "Length", at)
         if "pattern" in schema and not re.search(schema["pattern"], value):
             out.append(f"{at}: pattern")
-    if _is(value, "number") and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
-        out.append(f"{at}: out of range")
+    if _is(value, "number"):
+        if not schema.get("minimum", value) <= value <= schema.get("maximum", value):
+            out.append(f"{at}: out of range")
+        elif "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"] or "exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]:
+            out.append(f"{at}: out of range")
+        if "multipleOf" in schema and not _multiple(value, schema["multipleOf"]):
+            out.append(f"{at}: not a multiple")
+    for x in schema.get("allOf", []):
+        out += schema_errors(value, x, at)
+    if "anyOf" in schema and all(schema_errors(value, x, at) for x in schema["anyOf"]):
+        out.append(f"{at}: none of anyOf")
+    if "oneOf" in schema and sum(not schema_errors(value, x, at) for x in schema["oneOf"]) != 1:
+        out.append(f"{at}: not one of oneOf")
+    if "not" in schema and not schema_errors(value, schema["not"], at):
+        out.append(f"{at}: not excluded")
     return out
 
 
+def _sized(n: int, schema: dict, what: str, at: str) -> list[str]:
+    return [] if schema.get(f"min{what}", 0) <= n <= schema.get(f"max{what}", n) else [f"{at}: {what.lower()}"]
+
+
+def _multiple(value: int | float, of: int | float) -> bool:
+    return value % of == 0 if isinstance(value, int) and isinstance(of, int) else abs(value) < 1e300 and (value / of).is_integer()
+
+
 def _is(value: object, kind: str) -> bool:
     if kind == "number":
         return isinstance(value, int | float) and not isinstance(value, bool)
@@ -75,17 +141,27 @@ def _is(value: object, kind: str) -> bool:
     return isinstance(value, _TYPES.get(kind, object))
 
 
+def _deep(value: object) -> bool:
+    """Whether a value is nested over DEPTH levels."""
+    level = [value]
+    for _ in range(DEPTH):
+        level = [x for v in level for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())]
+        if not level:
+            return False
+    return True
+
+
 def _used(value: object) -> set[str]:
     """Identifiers of the results that arguments refer to."""
     if isinstance(value, dict):
         if set(value) == {"$result"} and isinstance(value["$result"], str):
-            return {value["$result"]}
+            return {_whole(value["$result"])}
         return set().union(*map(_used, value.values()))
     return set().union(*map(_used, value)) if isinstance(value, list) else set()
 
 
 def _name(value: object) -> str | None:
-    return None if value is None else value if isinstance(value, str) else canonical(value)
+    return None if value is None else _whole(value) if isinstance(value, str) else canonical(value)
 
 
 def events_of(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[dict]:
@@ -100,7 +176,7 @@ def events_of(role: str | None, text: str | None, schemas: dict[str, dict]) -> l
             canonical(body)
         except (ValueError, RecursionError):
             continue
-        if not isinstance(body, dict):
+        if not isinstance(body, dict) or _deep(body):
             continue
         rest.append(text[at : m.start()])
         at = m.end()
@@ -110,7 +186,7 @@ def events_of(role: str | None, text: str | None, schemas: dict[str, dict]) -> l
             event |= {"name": _name(body.get("name")), "arguments": canonical(given), "uses": sorted(_used(given))}
             schema = schemas.get(event["name"])
             errors = ["unknown tool"] if schema is None else schema_errors(given, schema)
-            event["error"] = "; ".join(errors) or None
+            event["error"] = _whole("; ".join(errors)) or None
         else:
             event["content"] = canonical(body.get("content"))
         out.append(event)
@@ -123,19 +199,21 @@ def events_of(role: str | None, text: str | None, schemas: dict[str, dict]) -> l
 def _events(messages: DataFrame, schemas: dict[str, dict], cols: tuple[str, str, str, str]) -> DataFrame:
     bounded_batches(messages.sparkSession)
     conv, turn, role, text = cols
-    sent = messages.select(messages[conv].cast("long"), messages[turn].cast("long"), messages[role].cast("string"), messages[text].cast("string"))
-    names = ["kind", "call_id", "name", "arguments", "content", "uses", "error"]
-    text_type, long = pa.string(), pa.int64()
-    kinds = [long, long, long, text_type, *[pa.list_(text_type) if n == "uses" else text_type for n in names]]
+    kind_of = messages.schema[conv].dataType
+    named = messages[conv] if isinstance(kind_of, T.IntegralType) else messages[conv].cast("string")
+    sent = messages.select(named.alias("conv_id"), messages[turn].try_cast("long").alias("turn"), messages[role].cast("string").alias("role"), messages[text].cast("string").alias("text"))
+    schema = T.StructType([T.StructField("conv_id", sent.schema["conv_id"].dataType), *T._parse_datatype_string(_EVENT).fields])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+    names = schema.names[4:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for c, t, r, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 rows += [(c, t, part, r, *[e[n] for n in names]) for part, e in enumerate(events_of(r, body, schemas))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["conv_id", "turn", "part", "role", *names])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], schema.names)
 
-    return sent.mapInArrow(run, _EVENT)
+    return sent.mapInArrow(run, schema)
 
 
 def _first(events: DataFrame, kind: str) -> DataFrame:
@@ -151,10 +229,13 @@ def linked_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, con
     the latest place among an event and all that it depends on, and depth the length of the longest chain of those. `linked`
     says whether a call has a result or a result its call (null for text); `valid` whether a call's arguments fit its tool's
     schema and it isn't part of a cycle (null for others). Null texts count as empty; null conversations, turns and roles stay
-    null, and null conversations link nothing. Of events that repeat an identifier the first call and the first result are
+    null, and null conversations link nothing. Conversations that aren't whole numbers are strings; a turn that is no number is
+    null. A schema with a keyword that isn't checked is refused. Of events that repeat an identifier the first call and the first result are
     linked, and every repetition keeps its own row. No rows, no events.
     """
     schemas = schemas or {}
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     if sum(len(canonical(s)) for s in schemas.values()) > SCHEMA_CHARS:
         raise ValueError("the schemas are too large to send to every executor")
     events = _events(messages, schemas, (conv_col, turn_col, role_col, text_col))
@@ -179,37 +260,105 @@ def linked_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, con
 def _places(calls: DataFrame, uses: DataFrame, folder: str) -> DataFrame:
     """Where each call stands at the earliest: (conv_id, call_id, after, depth, cyclic).
 
-    A round places the calls whose used results all belong to placed calls. As many rounds as the longest chain has calls are
-    needed; what no round can place is part of a cycle, or uses such a part.
+    A conversation's uses are put in order by one task; one of over USES of them by rounds, each of which places the calls whose
+    used results all belong to placed calls. What can't be placed is part of a cycle, or uses such a part.
     """
     key = ["conv_id", "call_id"]
     own = F.struct(F.col("call_turn").alias("turn"), F.col("call_part").alias("part"))
     calls = calls.select(*key, own.alias("own"))
     first = uses.select(*key, "used", F.struct("turn", "part").alias("own")).join(calls, [*key, "own"], "left_semi")  # of repeated calls the first
-    known = calls.select("conv_id", F.col("call_id").alias("used"))
-    waiting = written(first.join(known, ["conv_id", "used"], "left_semi").select(*key, "own", "used").distinct(), f"{folder}/uses")
+    known = calls.select("conv_id", F.col("call_id").alias("used"), F.col("own").alias("used_own"))
+    waiting = written(first.join(known, ["conv_id", "used"]).select(*key, "own", "used", "used_own").distinct(), f"{folder}/uses")
     placed = calls.join(waiting, key, "left_anti").select(*key, F.col("own").alias("after"), F.lit(0).alias("depth"), F.lit(False).alias("cyclic"))
     if waiting.isEmpty():
         return placed
-    placed, turn = written(placed, f"{folder}/placed-0"), 0
+    long = written(waiting.groupBy("conv_id").count().where(F.col("count") > USES).select("conv_id"), f"{folder}/long")
+    placed = placed.unionByName(_ordered(waiting.join(long, "conv_id", "left_anti")))
+    if long.isEmpty():
+        return placed
+    return placed.unionByName(_in_rounds(waiting.join(long, "conv_id", "left_semi"), folder))
+
+
+def _ordered(uses: DataFrame) -> DataFrame:
+    """The places of the calls in `uses`, a conversation at a time."""
+    schema = T.StructType([uses.schema["conv_id"], uses.schema["call_id"], *T._parse_datatype_string("after struct<turn:long,part:long>, depth int, cyclic boolean").fields])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["conv_id"] != now:
+                    yield out(now, held)
+                    held = []
+                now = row["conv_id"]
+                held.append(row)
+        if held:
+            yield out(now, held)
+
+    def out(conv, rows: list[dict]) -> pa.RecordBatch:
+        found = [(conv, call, {"turn": p[0], "part": p[1]}, depth, cyclic) for call, p, depth, cyclic in ordered(rows)]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], schema.names)
+
+    return uses.repartition("conv_id").sortWithinPartitions("conv_id", "call_id", "used").mapInArrow(run, schema)
+
+
+def _place(own: dict) -> tuple:
+    """A place that can be compared; null comes first, as in Spark."""
+    return tuple(-(1 << 63) if own[k] is None else own[k] for k in ("turn", "part"))
+
+
+def ordered(uses: list[dict]) -> list[tuple[str, tuple, int, bool]]:
+    """(call, after, depth, cyclic) of the calls of one conversation that use results: each one's latest place among those of all
+    that it depends on, and the longest chain of those."""
+    own = {u["used"]: u["used_own"] for u in uses} | {u["call_id"]: u["own"] for u in uses}
+    needs, users = defaultdict(set), defaultdict(list)
+    for u in uses:
+        needs[u["call_id"]].add(u["used"])
+        users[u["used"]].append(u["call_id"])
+    after, depth = {c: _place(p) for c, p in own.items()}, dict.fromkeys(own, 0)
+    left = {c: len(n) for c, n in needs.items()}
+    ready, done = [c for c in own if c not in needs], set()
+    while ready:
+        c = ready.pop()
+        done.add(c)
+        for user in users[c]:
+            after[user], depth[user] = max(after[user], after[c]), max(depth[user], depth[c] + 2)
+            left[user] -= 1
+            if not left[user]:
+                ready.append(user)
+    known = {_place(p): (p["turn"], p["part"]) for p in own.values()}
+    return [(c, known[after[c] if c in done else _place(own[c])], depth[c] if c in done else 0, c not in done) for c in needs]
+
+
+def _in_rounds(uses: DataFrame, folder: str) -> DataFrame:
+    """The same by joins: as many rounds as the longest chain has calls, each over the calls that are left."""
+    key = ["conv_id", "call_id"]
+    users = uses.select("conv_id", F.col("call_id").alias("used")).distinct().withColumn("waits", F.lit(True))
+    uses = uses.join(users, ["conv_id", "used"], "left")
+    given = lambda c: F.when(F.col("waits").isNull(), c)  # noqa: E731  what needs nothing is placed already
+    waiting = uses.select(*key, "own", "used", given(F.col("used_own")).alias("after"), given(F.lit(0)).alias("depth"))
+    waiting, turn, parts = written(waiting, f"{folder}/waiting-0"), 0, []
     while True:
         turn += 1
-        needed = waiting.join(placed.select("conv_id", F.col("call_id").alias("used"), "after", "depth"), ["conv_id", "used"], "left")
-        ready = needed.groupBy(*key, "own").agg(F.max("after").alias("after"), F.max("depth").alias("under"), F.count_if(F.col("depth").isNull()).alias("missing")).where("missing = 0")
+        ready = waiting.groupBy(*key, "own").agg(F.max("after").alias("after"), F.max("depth").alias("under"), F.count_if(F.col("depth").isNull()).alias("missing")).where("missing = 0")
         ready = written(ready.select(*key, F.greatest("own", "after").alias("after"), (F.col("under") + 2).alias("depth"), F.lit(False).alias("cyclic")), f"{folder}/ready-{turn}")
         if ready.isEmpty():
             break
-        placed = written(placed.unionByName(ready), f"{folder}/placed-{turn}")
-        waiting = written(waiting.join(ready, key, "left_anti"), f"{folder}/waiting-{turn}")
+        parts.append(ready)
+        told = ready.select("conv_id", F.col("call_id").alias("used"), F.col("after").alias("new_after"), F.col("depth").alias("new_depth"))
+        rest = waiting.join(ready.select(*key), key, "left_anti").join(told, ["conv_id", "used"], "left")
+        waiting = written(rest.select(*key, "own", "used", F.coalesce("after", "new_after").alias("after"), F.coalesce("depth", "new_depth").alias("depth")), f"{folder}/waiting-{turn}")
+        remove(uses.sparkSession, f"{folder}/waiting-{turn - 1}")
     cyclic = waiting.groupBy(*key).agg(F.first("own").alias("after")).select(*key, "after", F.lit(0).alias("depth"), F.lit(True).alias("cyclic"))
-    return placed.unionByName(cyclic)
+    return reduce(DataFrame.unionByName, parts, cyclic)
 
 
 def _lines(events: DataFrame) -> DataFrame:
     names = events.columns
-    out = "conv_id long, after_turn long, after_part long, depth long, turn long, part long, kind string, linked boolean, valid boolean, json string"
-    long, text, flag = pa.int64(), pa.string(), pa.bool_()
-    kinds = [long] * 6 + [text, flag, flag, text]
+    out = "after_turn long, after_part long, depth long, turn long, part long, kind string, linked boolean, valid boolean, json string"
+    schema = T.StructType([events.schema["conv_id"], *T._parse_datatype_string(out).fields])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def line(e: dict) -> str:
         said = {"conv_id": e["conv_id"], "turn": e["turn"], "role": e["role"], "type": e["kind"]}
@@ -230,6 +379,6 @@ def _lines(events: DataFrame) -> DataFrame:
             cols = [[r[n] for r in rows] for n in ("conv_id", "after_turn", "after_part", "depth", "turn", "part", "kind", "linked")]
             cols.append([r["error"] is None if r["kind"] == "call" else None for r in rows])
             cols.append([line(r) for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in out.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], schema.names)
 
-    return events.mapInArrow(run, out)
+    return events.mapInArrow(run, schema)

@@ -26,8 +26,29 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: What the calls of `with_calls` must look like.
+ANSWER = {"answer": {
+    "type": "object", "required": ["question"], "additionalProperties": False,
+    "properties": {"question": {"type": "string", "minLength": 1}, "earlier": {"type": "object"}},
+}}
+
+
+def with_calls(conversations: DataFrame) -> DataFrame:
+    """The messages, and the same conversations as tool calls: what a user says is a call that uses the result of the turn before
+    the last, and what the assistant says is the result of the call of the turn before."""
+    block = lambda name, body: F.concat(F.lit(f"<{name}>"), F.to_json(body), F.lit(f"</{name}>"))
+    turn = F.col("turn")
+    question = F.named_struct(F.lit("question"), F.coalesce("text", F.lit("")))
+    earlier = F.named_struct(F.lit("question"), F.coalesce("text", F.lit("")), F.lit("earlier"), F.named_struct(F.lit("$result"), (turn - 2).cast("string")))
+    call = lambda arguments: block("tool_call", F.named_struct(F.lit("id"), turn.cast("string"), F.lit("name"), F.lit("answer"), F.lit("arguments"), arguments))
+    calls = conversations.where("role = 'user'").select("conv_id", "turn", F.lit("assistant").alias("role"), F.when(turn < 2, call(question)).otherwise(call(earlier)).alias("text"))
+    answer = block("tool_result", F.named_struct(F.lit("id"), (turn - 1).cast("string"), F.lit("content"), F.coalesce("text", F.lit(""))))
+    results = conversations.where("role = 'assistant'").select("conv_id", "turn", F.lit("tool").alias("role"), answer.alias("text"))
+    return conversations.select("conv_id", "turn", "role", "text").unionByName(calls).unionByName(results)
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.linked_chat(table(spark, sf_dir, "conversations"))
+    return chat.linked_chat(with_calls(table(spark, sf_dir, "conversations")), ANSWER)
 
 
 def _count(kind: str) -> Column:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -86,12 +87,100 @@ def test_schema_checks():
     assert all(not chat.schema_errors(v, ok) for v in good) and all(chat.schema_errors(v, ok) for v in bad)
 
 
+def test_schema_keywords():
+    cases = [
+        ({"properties": {"a": True, "b": False}}, [{"a": 1}, {}], [{"b": 1}]), ({"enum": [True, 2]}, [True, 2, 2.0], [1, False]), ({"const": 0}, [0, 0.0], [False]),
+        ({"exclusiveMinimum": 1, "exclusiveMaximum": 3}, [2, 1.5, "x"], [1, 3]), ({"multipleOf": 0.5}, [1, 1.5], [1.2]), ({"multipleOf": 3}, [9, 10**400 * 3], [10]),
+        ({"minItems": 1, "maxItems": 2, "uniqueItems": True}, [[1], [1, True]], [[], [1, 2, 3], [1, 1.0]]), ({"minProperties": 1, "maxProperties": 1}, [{"a": 1}], [{}, {"a": 1, "b": 2}]),
+        ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, ["a", 6], [4]), ({"oneOf": [{"type": "number"}, {"minimum": 5}]}, [4], [6]), ({"allOf": [{"minimum": 1}, {"maximum": 2}]}, [1], [3]),
+        ({"not": {"type": "null"}}, [1], [None]), ({"items": False}, [[]], [[1]]), ({"additionalProperties": False, "properties": {"x": {}}}, [{"x": []}], [{"y": 1}]),
+    ]
+    for schema, good, bad in cases:
+        chat.check_schema(schema)
+        assert all(not chat.schema_errors(v, schema) for v in good) and all(chat.schema_errors(v, schema) for v in bad), schema
+    for schema in ({"$ref": "#/x"}, {"properties": {"a": {"minimun": 1}}}, {"items": {"anyOf": [{"unknown": 1}]}}, {"multipleOf": 0}, [1]):
+        with pytest.raises(ValueError):
+            chat.check_schema(schema)
+
+
+def test_a_schema_that_cannot_be_checked_is_refused(spark):
+    with pytest.raises(ValueError, match="not supported"):
+        chat.linked_chat(spark.createDataFrame([], SCHEMA), {"t": {"$ref": "#"}})
+
+
+def test_odd_identifiers_surrogates_and_depth(spark):
+    deep = "[" * 5000 + "]" * 5000
+    texts = [
+        '<tool_call>{"id":"\\ud800","name":"add","arguments":{"a":"\\udfff","\\ud800":1}}</tool_call>', f'<tool_call>{{"id":1,"arguments":{deep}}}</tool_call>',
+        '<tool_call>{"id":{"x":[null]},"name":7,"arguments":1e999}</tool_call>', '<tool_call>{"id":["y"],"name":7,"arguments":{"$result":"\\ud800"}}</tool_call>',
+    ]
+    rows = [(c, t, "assistant", x) for c in ("one", "", "12", None) for t, x in zip(("1", "x", None, "9"), texts, strict=True)]
+    found = chat.linked_chat(spark.createDataFrame(rows, "conv_id string, turn string, role string, text string"), TOOLS).collect()
+    assert len(found) == 16 and {r.conv_id for r in found} == {"one", "", "12", None} and {r.turn for r in found} == {1, 9, None}
+    first = next(json.loads(r.json) for r in found if r.conv_id == "one" and r.turn == 1)
+    assert first["id"] == "\\ud800" and first["arguments"] == {"a": "\udfff", "\ud800": 1} and not first["valid"]
+    assert sorted(r.kind for r in found if r.conv_id == "one") == ["call", "call", "text", "text"]
+    assert [r.depth for r in found if r.conv_id == "12" and r.turn == 9] == [2]
+
+
+def brute_places(messages, schemas):
+    """Each call's place and depth by recursion, and which calls are on or behind a cycle."""
+    own, uses = {}, {}
+    for c, t, role, text in sorted((m for m in messages if m[0] is not None), key=lambda m: (m[0], m[1])):
+        for part, e in enumerate(chat.events_of(role, text, schemas)):
+            if e["kind"] == "call" and (c, e["call_id"]) not in own:
+                own[c, e["call_id"]], uses[c, e["call_id"]] = (t, part), e["uses"]
+
+    def visit(k, path):
+        if k in path:
+            return None
+        found = [visit((k[0], u), path | {k}) for u in uses[k] if (k[0], u) in own]
+        if None in found:
+            return None
+        return max([own[k], *(p for p, _ in found)]), max([0, *(d + 2 for _, d in found)])
+
+    return {k: visit(k, frozenset()) or (own[k], 0, "cyclic") for k in own}
+
+
+@pytest.mark.parametrize("uses", [0, 4, 10**6])
+def test_random_graphs_as_by_brute_force(spark, monkeypatch, uses):
+    """Whether one task puts a conversation in order, or rounds of joins do."""
+    monkeypatch.setattr(chat, "USES", uses)
+    rng = random.Random(uses)
+    messages = []
+    for c in range(8):
+        for t in range(7):
+            names = rng.sample("abcdefghij", rng.randrange(3))
+            text = "".join(call(n, {"a": {"$result": rng.choice("abcdefghijz")}, "b": {"$result": rng.choice("abcdefghijz")}} if rng.random() < 0.5 else None) for n in names)
+            messages.append((c, t, "assistant", text))
+    want = brute_places(messages, TOOLS)
+    assert any(len(x) == 3 for x in want.values()) and any(x[1] > 2 for x in want.values())
+    found = chat.linked_chat(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string"), TOOLS).collect()
+    seen = set()
+    for r in sorted(found, key=lambda r: (r.conv_id, r.turn, r.part)):
+        e = json.loads(r.json)
+        if r.kind == "call" and (r.conv_id, e["id"]) not in seen:
+            seen.add((r.conv_id, e["id"]))
+            place = want[r.conv_id, e["id"]]
+            assert ((r.after_turn, r.after_part), r.depth) == place[:2] and ("cycle" in e.get("error", "")) == (len(place) == 3)
+    assert seen == set(want)
+
+
 def test_empty_table_and_query(spark, sf_dir):
     assert chat.linked_chat(spark.createDataFrame([], SCHEMA)).count() == 0
     table = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
     got = op3_chat_formatting(spark, sf_dir).collect()
-    assert len(got) >= len(table)
+    kinds = {k: sum(r.kind == k for r in got) for k in ("text", "call", "result")}
+    assert kinds == {"text": len(table), "call": sum(m.role == "user" for m in table.values()), "result": sum(m.role == "assistant" for m in table.values())}
     for r in got:
-        m = table[r.conv_id, r.turn]
-        if r.kind == "text" and "<tool_" not in m.text:
-            assert json.loads(r.json) == {"conv_id": r.conv_id, "turn": r.turn, "role": m.role, "type": "text", "content": m.text}
+        m, e = table[r.conv_id, r.turn], json.loads(r.json)
+        before, after = (table.get((r.conv_id, r.turn + d)) for d in (-1, 1))
+        if r.kind == "text":
+            assert e == {"conv_id": r.conv_id, "turn": r.turn, "role": m.role, "type": "text", "content": m.text}
+        elif r.kind == "call":
+            back = 0
+            while (x := table.get((r.conv_id, r.turn - 2 * back - 2))) and x.role == "user":
+                back += 1
+            assert e["arguments"]["question"] == m.text and e["valid"] == bool(m.text) and e["linked"] == bool(after and after.role == "assistant") and r.depth == 2 * back
+        else:
+            assert e["content"] == m.text and e["linked"] == bool(before and before.role == "user")
