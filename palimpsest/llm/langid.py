@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from .common import bounded_batches, map_texts
 
 BUCKETS = 1 << 15
-#: Labelled documents that the model is fitted on: a sample of this expected size, by a hash of the identifier.
+#: Labelled documents that the model is fitted on: a sample of this expected size, by a hash of the identifier, for each language.
 TRAINING_DOCS = 20_000
 #: Languages that the model may have; more raise an error.
 LANGUAGES = 200
@@ -57,10 +57,11 @@ class Model:
         rows = [(counts[x] + SMOOTH) / (counts[x].sum() + SMOOTH * BUCKETS) for x in self.languages]
         self.chance = np.array(rows, np.float64).reshape(len(rows), BUCKETS)
 
-    def proportions(self, text: str | None) -> dict[str, float]:
-        """The languages of a text with their proportions; none if it has no letter or nothing was learned."""
+    def proportions(self, text: str | None) -> tuple[dict[str, float], float]:
+        """The languages of a text with their proportions, and by how much their penalised likelihood exceeds that of no language,
+        whose trigrams are equally likely. None if the text has no letter or nothing was learned."""
         if text is None or not self.languages or not has_letter(text):
-            return {}
+            return {}, 0.0
         seen = np.bincount(grams(text), minlength=BUCKETS)
         at = np.flatnonzero(seen)
         counts, chance = seen[at].astype(np.float64), self.chance[:, at]
@@ -77,18 +78,21 @@ class Model:
             if (likelihood - best) * INDEPENDENT <= fee:
                 break
             chosen, best, share = [*chosen, x], likelihood, w
-        return {self.languages[x]: float(s) for x, s in zip(chosen, share, strict=True)}
-
-    def predict(self, text: str | None) -> tuple[str, float, str]:
-        """The language with the greatest proportion (of equal ones the first by name) or `und`, that proportion, and all of them."""
-        found = sorted(self.proportions(text).items(), key=lambda x: (-x[1], x[0]))
+        above = (best + counts.sum() * np.log(BUCKETS)) * INDEPENDENT - fee * (len(chosen) - 1)
+        return {self.languages[x]: float(s) for x, s in zip(chosen, share, strict=True)}, float(above)
+
+    def predict(self, text: str | None) -> tuple[str, float, str, bool]:
+        """The language with the greatest proportion (of equal ones the first by name) or `und`, that proportion, all of them, and
+        whether the text is in some language at all: no mixture of languages explains line noise better than chance does."""
+        found, above = self.proportions(text)
+        found = sorted(found.items(), key=lambda x: (-x[1], x[0]))
         if not found:
-            return "und", 0.0, ""
-        return found[0][0], min(1.0, found[0][1]), ",".join(f"{k}:{v:.3f}" for k, v in found)
+            return "und", 0.0, "", False
+        return found[0][0], min(1.0, found[0][1]), ",".join(f"{k}:{v:.3f}" for k, v in found), above > 0
 
     def __call__(self, texts: pa.Array) -> pa.Array:
         found = [self.predict(t.as_py()) for t in texts]
-        return pa.StructArray.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string()))], ["lang_pred", "score", "mixture"])
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string(), pa.bool_()))], ["lang_pred", "score", "mixture", "known"])
 
 
 def expectation_maximisation(chance: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
@@ -104,13 +108,19 @@ def expectation_maximisation(chance: np.ndarray, counts: np.ndarray) -> tuple[np
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", training_docs: int = TRAINING_DOCS) -> Model:
-    """A model of the texts with a language whose document isn't held out; of at most about `training_docs` of them."""
+    """A model of the texts with a language whose document isn't held out; of at most about `training_docs` of them, of which every
+    language has an equal part, or all that it has."""
     bounded_batches(docs.sparkSession)
     labelled = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     labelled = labelled.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = training_docs / max(1, docs.select(lang_col).where(F.col(lang_col).isNotNull()).count())
-    if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    cells = 1 << 30
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    part = training_docs / max(1, len(sizes))
+    for lang, n in sizes.items():
+        if n > part:
+            labelled = labelled.where((F.col("lang") != lang) | (F.pmod(F.xxhash64("id"), F.lit(cells)) < int(part / n * cells)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -125,16 +135,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sums = labelled.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {}
     for lang, bucket, n in sums.toLocalIterator():  # at most LANGUAGES x BUCKETS rows
-        if lang not in counts and len(counts) == LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} languages")
         counts.setdefault(lang, np.zeros(BUCKETS, np.int64))[bucket] = n
     return Model(counts)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """For every row: `row` (the columns in `keep`, all by default) and `out`: lang_pred, score (0 to 1), mixture (all languages with
-    their proportions). Only the text is read: null texts and texts without a letter are `und` with score 0. An empty table
+    their proportions), known (whether they explain the text better than chance). Only the text is read: null texts and texts
+    without a letter are `und` with score 0. An empty table
     gives an empty result; a model of no texts knows no language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES x BUCKETS x 8 bytes, 1 MB for four languages
-    out = T._parse_datatype_string("struct<lang_pred:string,score:double,mixture:string>")
+    out = T._parse_datatype_string("struct<lang_pred:string,score:double,mixture:string,known:boolean>")
     return map_texts(docs, text_col, lambda: shared.value, out, keep)
