@@ -1,12 +1,13 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams, against which the word windows of all documents are scanned.
 
 Windows are compared by a 64-bit hash first; every hit is then checked word by word. The test set is broadcast in blocks of
-bounded size, one pass over the documents for each, so a test set of any size is scanned whole.
+bounded size, so a test set of any size is scanned whole; each block after the first is a pass that writes only its hits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -15,45 +16,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IN_WORD, LOWER, map_texts, run_hashes, steps, text_or_empty, utf8, word_runs, work_dir, written
+from .common import IN_WORD, LOWER, map_texts, run_hashes, running, steps, text_or_empty, utf8, word_runs, work_dir, written
 
 #: Words of a window.
 WINDOW = 10
-#: Code points of test items in one broadcast: at most about 100 MB in a worker.
-BLOCK_CHARS = 1_000_000
+#: Code points of test items in one broadcast: five times as many bytes in a worker, 40 MB.
+BLOCK_CHARS = 8_000_000
 
 _SPANS = "struct<n_words:long,starts:array<long>,ends:array<long>,items:array<string>>"
 
 
 class WindowSet:
-    """The windows of some items: sorted hashes by length, and the exact windows with their items."""
+    """The windows of some items: for each length the sorted hashes and where the windows begin. Their words are compared on a hit."""
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
-        self.window, self.exact = window, {}
-        lengths: dict[int, set[bytes]] = {}
-        for item, text in items:
-            raw = LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes()
-            starts, ends, _ = word_runs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), IN_WORD)
-            words = [raw[a:b] for a, b in zip(starts, ends, strict=True)]
-            n = min(window, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                gram = b" ".join(words[i : i + n])
-                self.exact.setdefault(gram, set()).add(item)
-                lengths.setdefault(n, set()).add(gram)
-        self.hashes = {n: np.unique(np.array([window_hashes(*_split(g), n)[0] for g in grams], np.uint64)) for n, grams in lengths.items()}
-
-
-def _split(gram: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(gram, np.uint8)
-    starts, ends, _ = word_runs(data, np.array([0, len(data)]), IN_WORD)
-    return data, starts, ends
-
-
-def window_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every n consecutive words."""
-    words = run_hashes(data, starts, ends)
-    first = np.arange(max(0, len(words) - n + 1))
-    return run_hashes(words, first, first + n)
+        self.window, self.names = window, [item for item, _ in items]
+        raw = [LOWER[np.frombuffer(text.encode(), np.uint8)] for _, text in items]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        data = np.concatenate(raw) if raw else np.zeros(0, np.uint8)
+        starts, ends, first = word_runs(data, offsets, IN_WORD)
+        self.data, self.starts, self.ends, self.first = data.tobytes(), starts.astype(np.int32), ends.astype(np.int32), first
+        words, size = run_hashes(data, starts, ends), np.diff(first)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(np.minimum(size[size > 0], window)).tolist():
+            own = np.flatnonzero(size >= n if n == window else size == n)
+            count = size[own] - n + 1
+            at = np.repeat(first[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            hashes = run_hashes(words, at, at + n)
+            order = np.argsort(hashes, kind="stable")
+            self.windows[n] = hashes[order], at[order].astype(np.int32)
+        self.known: dict[tuple[int, int], dict[bytes, set[str]]] = {}
+
+    def items(self, n: int, value: int, gram: bytes) -> set[str]:
+        """The items with this window, of n words, whose hash is `value`."""
+        if (n, value) not in self.known:
+            hashes, at = self.windows[n]
+            low, high = np.searchsorted(hashes, np.uint64(value)), np.searchsorted(hashes, np.uint64(value), side="right")
+            found: dict[bytes, set[str]] = {}
+            for w in at[low:high].tolist():
+                words = b" ".join([self.data[a:b] for a, b in zip(self.starts[w : w + n].tolist(), self.ends[w : w + n].tolist(), strict=True)])
+                found.setdefault(words, set()).add(self.names[int(np.searchsorted(self.first, w, side="right")) - 1])
+            self.known[n, value] = found
+        return self.known[n, value].get(gram, set())
 
 
 class Scanner:
@@ -61,12 +65,13 @@ class Scanner:
 
     def __init__(self, windows: WindowSet) -> None:
         self.windows = windows
-        self.maybe = {n: self._bits(h) for n, h in windows.hashes.items()}
+        size = max(20, int(max((len(h) for h, _ in windows.windows.values()), default=0) * 8).bit_length())
+        self.shift = np.uint64(64 - size)
+        self.maybe = {n: self._bits(h, size) for n, (h, _) in windows.windows.items()}
 
-    @staticmethod
-    def _bits(hashes: np.ndarray) -> np.ndarray:
-        bits = np.zeros(1 << 20, bool)
-        bits[hashes >> np.uint64(44)] = True
+    def _bits(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        bits = np.zeros(1 << size, bool)
+        bits[hashes >> self.shift] = True
         return bits
 
     def __call__(self, texts: pa.Array) -> pa.Array:
@@ -89,17 +94,17 @@ class Scanner:
         if len(starts):
             words = run_hashes(data, starts, ends)
             raw = data.tobytes()
-            for n, known in self.windows.hashes.items():
+            for n, (known, _) in self.windows.windows.items():
                 at = np.arange(max(0, len(words) - n + 1))
                 h = run_hashes(words, at, at + n)
-                at = at[self.maybe[n][h >> np.uint64(44)]]
+                at = at[self.maybe[n][h >> self.shift]]
                 place = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
                 at = at[known[place] == h[at]]
                 row = np.searchsorted(first, at, side="right") - 1
                 inside = at + n <= first[row + 1]
                 for w, r in zip(at[inside].tolist(), row[inside].tolist(), strict=True):
                     gram = b" ".join([raw[a:b] for a, b in zip(starts[w : w + n].tolist(), ends[w : w + n].tolist(), strict=True)])
-                    if found := self.windows.exact.get(gram):
+                    if found := self.windows.items(n, int(h[w]), gram):
                         items[r] |= found
                         spans[r].append((w - int(first[r]), w - int(first[r]) + n))
         return np.diff(first), [_merged(s) for s in spans], [sorted(i) for i in items]
@@ -145,18 +150,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     names = docs.columns if keep is None else keep
     whole = F.struct(*[docs[c] for c in names]).alias("whole") if names else F.struct(F.lit(0).alias("none")).alias("whole")
     docs = written(docs.select(F.monotonically_increasing_id().alias("at"), whole, docs[text_col].cast("string").alias("body")), f"{folder}/docs")
-    for n, block in enumerate(chain([first, second], blocks)):
-        _pass(docs, "body", block, window, ["at"]).write.parquet(f"{folder}/hits/block={n}")
-    hits = spark.read.parquet(f"{folder}/hits")
-    spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("out.starts", "out.ends"))))
-    merged = hits.groupBy("row.at").agg(F.max("out.n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("out.items")))).alias("items"))
-    apart = F.aggregate("spans", F.array().cast("array<struct<a:long,b:long>>"), lambda done, s: F.when(
-        (F.size(done) > 0) & (s["starts"] <= F.element_at(done, -1)["b"]),
-        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["a"].alias("a"), F.greatest(F.element_at(done, -1)["b"], s["ends"]).alias("b")))),
-    ).otherwise(F.concat(done, F.array(F.struct(s["starts"].alias("a"), s["ends"].alias("b"))))))
-    merged = merged.select("at", "n_words", apart.alias("spans"), "items")
-    out = F.struct("n_words", F.col("spans.a").alias("starts"), F.col("spans.b").alias("ends"), "items").alias("out")
-    return docs.join(merged, "at").select(F.col("whole").alias("row"), out)
+    words = written(_pass(docs, "body", first, window, ["at"]).select("row.at", "out.*"), f"{folder}/first")
+    parts = [words.where(F.size("starts") > 0)]
+    for n, block in enumerate(chain([second], blocks)):
+        found = _pass(docs, "body", block, window, ["at"]).where(F.size("out.starts") > 0)
+        parts.append(written(found.select("row.at", "out.*"), f"{folder}/hits-{n}"))
+    hits = reduce(DataFrame.unionByName, parts).select("at", "items", F.arrays_zip("starts", "ends").alias("spans"))
+    merged = hits.groupBy("at").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    reach = running(F.transform("spans", lambda s: s["ends"]), lambda x, before: F.greatest(x, before))
+    merged = merged.select("at", "items", F.transform("spans", lambda s: s["starts"]).alias("begins"), reach.alias("reach"))
+    apart = lambda i: F.coalesce(F.get("begins", i) > F.get("reach", i - 1), F.lit(True))  # noqa: E731  whether a span begins behind all before it
+    starts = F.filter("begins", lambda _, i: apart(i))
+    ends = F.filter("reach", lambda _, i: apart(i + 1))
+    merged = merged.select("at", starts.alias("starts"), ends.alias("ends"), "items")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    out = F.struct("n_words", none("starts", "array<long>"), none("ends", "array<long>"), none("items", "array<string>")).alias("out")
+    return docs.select("at", "whole").join(words.select("at", "n_words"), "at").join(merged, "at", "left").select(F.col("whole").alias("row"), out)
 
 
 def _pass(docs: DataFrame, text_col: str, block: list[tuple[str, str]], window: int, keep: list[str] | None) -> DataFrame:
