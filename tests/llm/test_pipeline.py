@@ -1,9 +1,12 @@
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.llm import langid
+
 from .test_decontam import brute as hits
 from .test_packing import _whole
 from .test_simhash import _edited, _jaccard, components, shingles
@@ -43,9 +46,19 @@ def test_columns_and_order(stages):
     assert all(df.columns == stages[0].columns for df in stages[1:-1])
 
 
-def test_language_id_rejects_only_texts_without_letters(stages):
-    before, after = _texts(stages[0]), _texts(stages[1])
-    assert set(after) == {d for d, t in before.items() if t and any(c.isalpha() for c in t)}
+def test_language_id_rejects_what_is_in_no_language(spark, tables, stages):
+    """Rejected texts have no letter, or their trigrams are less likely in each mixture tried than by chance."""
+    docs, after = stages[0], _texts(stages[1])
+    before, model = _texts(docs), langid.fit(docs)
+    assert set(after) <= {d for d, t in before.items() if t and any(c.isalpha() for c in t)}
+    for d, t in before.items():
+        if d not in after and t and langid.has_letter(t):
+            seen = np.bincount(langid.grams(t), minlength=langid.BUCKETS)
+            n = len(model.languages)
+            for w in [*np.eye(n), np.full(n, 1 / n)]:
+                with np.errstate(divide="ignore"):
+                    assert np.log(w @ model.chance) @ seen < -seen.sum() * np.log(langid.BUCKETS) + 10, t[:200]
+    assert all(d in after for d in before if d >= 10**6 and d not in (10**6, 10**6 + 1, 10**6 + 2, 10**6 + 3))
 
 
 def test_one_of_each_group_of_copies_stays(stages):
