@@ -6,6 +6,7 @@ The event log is loaded into a new store in the shared folder; small dimension t
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -262,8 +263,9 @@ def leveled_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A leveled plan: runs of every 50 keys in a level too large go one level down to those of every 10 keys that they meet."""
     kv = versions(spark, sf_dir)
     upper, lower = (_catalog(_ranges(kv, F.floor(F.col("k").cast("long") / n))) for n in (50, 10))
+    lower = [replace(r, id=r.id + len(upper)) for r in lower]  # no two runs of a store have one number
     tasks = C.plan([[], upper, lower], C.Options("leveled", base=1, levels=3))
-    return spark.createDataFrame([(t.source_level, t.source_ids[0], t.destination_level, i) for t in tasks for i in t.destination_ids], "source_level long, src long, destination_level long, dst long")
+    return spark.createDataFrame([(t.source_level, t.source_ids[0], t.destination_level, i - len(upper)) for t in tasks for i in t.destination_ids], "source_level long, src long, destination_level long, dst long")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
