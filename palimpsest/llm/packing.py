@@ -91,6 +91,9 @@ def remembering(model: str) -> Tokens:
     return Tokens(model)
 
 
+Counts = tuple[np.ndarray, np.ndarray]  # distinct terms and how often each occurs
+
+
 class Corpus:
     """What BM25 needs to know of all documents: how many there are, their tokens, and in how many of them each term occurs."""
 
@@ -101,13 +104,17 @@ class Corpus:
     def weights(self, terms: np.ndarray, often: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return self.idf[terms] * often * (K1 + 1) / (often + K1 * (1 - B + B * lengths / self.mean))
 
-    def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
+    def vectors(self, found: list[Counts]) -> np.ndarray:
         """The weights of each document's terms, of length 1, by random signs in DIMS dimensions."""
         signs = _signs(len(self.idf))
-        out = np.zeros((len(docs), DIMS), np.float32)
-        for i, d in enumerate(docs):
-            terms, often = np.unique(d, return_counts=True)
-            out[i] = self.weights(terms, often, len(d)).astype(np.float32) @ signs[terms]
+        out = np.zeros((len(found), DIMS), np.float32)
+        if found:
+            length = np.repeat([often.sum() for _, often in found], [len(t) for t, _ in found])
+            weight = self.weights(np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found]), length).astype(np.float32)
+            at = 0
+            for i, (terms, _) in enumerate(found):
+                out[i] = weight[at : at + len(terms)] @ signs[terms]
+                at += len(terms)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -149,13 +156,12 @@ class Index:
     """A BM25 inverted index over the documents of a shard, with the weights of `corpus`, or of the shard alone if there is none.
     A term in over half of the documents weighs nothing, as its idf isn't positive."""
 
-    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None) -> None:
-        n = len(docs)
-        found = [np.unique(d, return_counts=True) for d in docs]
+    def __init__(self, found: list[Counts], corpus: Corpus | None = None) -> None:
+        n = len(found)
         terms = np.concatenate([t for t, _ in found]).astype(np.int64)
         often = np.concatenate([c for _, c in found])
         owner = np.repeat(np.arange(n), [len(t) for t, _ in found])
-        lengths = np.array([len(d) for d in docs], float)
+        lengths = np.bincount(owner, weights=often, minlength=n)
         corpus = corpus or Corpus(n, lengths.sum(), np.bincount(terms))
         weight = corpus.weights(terms, often, lengths[owner])
         some = weight > 0
@@ -180,18 +186,23 @@ class Index:
 Piece = tuple[int, int, int, int, int]  # document, start, length, sequence, offset
 
 
-def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[Piece]:
+def counts_of(ids: np.ndarray) -> Counts:
+    return np.unique(ids, return_counts=True)
+
+
+def pack(found: list[Counts], window: int = WINDOW, corpus: Corpus | None = None) -> list[Piece]:
     """Pieces of all documents of a shard; each token lies in one piece, each sequence is full or a power of two long."""
     pieces: list[Piece] = []
     sequence = 0
-    start = np.zeros(len(docs), np.int64)
-    for d, ids in enumerate(docs):  # what fills windows alone
-        for _ in range(len(ids) // window):
+    lengths = np.array([often.sum() for _, often in found], np.int64)
+    start = np.zeros(len(found), np.int64)
+    for d in np.flatnonzero(lengths >= window).tolist():  # what fills windows alone
+        for _ in range(lengths[d] // window):
             pieces.append((d, int(start[d]), window, sequence, 0))
             start[d] += window
             sequence += 1
-    left = np.array([len(d) for d in docs], np.int64) - start
-    index, open_, room = Index(docs, corpus), [], window
+    left = lengths - start
+    index, open_, room = Index(found, corpus), [], window
     seed = None
     while (left > 0).any():
         if seed is None or not left[seed]:
@@ -243,8 +254,24 @@ def _powers(parts: list[tuple[int, int, int]], sequence: int) -> list[Piece]:
 _OUT = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def _ids(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), "<u4") for x in column]
+def _wide(terms: int) -> str:
+    """The type in which token numbers are kept between the steps."""
+    return "<u2" if terms <= 1 << 16 else "<u4"
+
+
+def _views(column: pa.Array, kind: str) -> list[np.ndarray]:
+    """The arrays that a column of binaries holds, without a copy."""
+    if not len(column):
+        return []
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    data = column.buffers()[2]
+    every = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return [every[a:b].view(kind) if a % size == 0 else np.frombuffer(every[a:b].tobytes(), kind) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _counts(terms: pa.Array, often: pa.Array, kind: str) -> list[Counts]:
+    return list(zip(_views(terms, kind), _views(often, "<u4"), strict=True))
 
 
 def _terms(tokenizer: str) -> int:
@@ -254,38 +281,46 @@ def _terms(tokenizer: str) -> int:
     return max([END, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()]) + 1
 
 
-def counted(rows: DataFrame, terms: int) -> Corpus:
-    """The counts of all documents in `rows` (ids): added up in each task, then over tasks; at most a row for each term."""
+def corpus_of(rows: DataFrame, terms: int) -> Corpus:
+    """The counts of all documents: what each task noted of its own (`df`, where it isn't null), added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, docs, tokens = np.zeros(terms, np.int64), 0, 0
+        total = np.zeros(terms + 2, np.int64)
         for batch in batches:
-            ids = _ids(batch.column(0))
-            docs, tokens = docs + len(ids), tokens + sum(map(len, ids))
-            if ids:
-                df += np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=terms)
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *at], pa.int64()), pa.array([docs, tokens, *df[at]], pa.int64())], ["term", "n"])
+            total += sum(_views(batch.column(0), "<i8"))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["term", "n"])
 
-    found = rows.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    at, df = found.column("term").to_numpy() + 2, np.zeros(terms + 2, np.int64)
-    df[at] = found.column("n").to_numpy()
-    return Corpus(int(df[0]), int(df[1]), df[2:])
+    found = rows.where("df is not null").select("df").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(terms + 2, np.int64)
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return Corpus(int(df[-2]), int(df[-1]), df[:-2])
 
 
-def _vectors(rows: DataFrame, corpus, docs: int) -> np.ndarray:
-    """The vectors of a sample of the documents in `rows` (at, ids)."""
+def _sampled(rows: DataFrame, corpus, kind: str, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors and lengths of a sample of the documents, in an order that follows from them alone."""
     cells = 1 << 30
     share = max(CUT_DOCS, docs // CUT_SHARE) / max(1, docs)
     some = rows.where(F.pmod(F.xxhash64("at"), F.lit(cells)) < int(min(1.0, share) * cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = corpus.value.vectors(_ids(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in found], pa.binary())], ["vector"])
+            found = _counts(batch.column(0), batch.column(1), kind)
+            lengths = [int(often.sum()) for _, often in found]
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in corpus.value.vectors(found)], pa.binary()), pa.array(lengths, pa.int64())], ["vector", "length"])
+
+    found = some.select("terms", "often").mapInArrow(run, "vector binary, length long").toArrow().sort_by([("vector", "ascending"), ("length", "ascending")])
+    return np.frombuffer(b"".join(found.column("vector").to_pylist()), np.float32).reshape(-1, DIMS), found.column("length").to_numpy()
 
-    found = some.select("ids").mapInArrow(run, "vector binary").toArrow().column("vector")
-    return np.frombuffer(b"".join(sorted(found.to_pylist())), np.float32).reshape(-1, DIMS)
+
+def _tasks(leaf: np.ndarray, lengths: np.ndarray, leaves: int, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each leaf its first task and its number of tasks, from the leaves' shares of a sample's tokens: neighbouring leaves
+    share a task, and a leaf that holds much, such as one of a large group of copies, has several."""
+    load = np.bincount(leaf, weights=lengths, minlength=leaves) + 1e-9
+    load *= tasks / load.sum()
+    before = np.cumsum(load) - load
+    first = np.minimum(before.astype(np.int64), tasks - 1)
+    return first, np.maximum(1, np.minimum(np.round(load).astype(np.int64), tasks - first))
 
 
 def packed(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: list[str] | None = None, window: int = WINDOW) -> DataFrame:
@@ -294,62 +329,85 @@ def packed(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: list[s
 
     `tokenizer` is the path of a tokenizer file, read on the driver. Null counts as empty: such a document is its end token.
     Repeated rows are packed once each; rows are told apart by their place, so identifiers may be null or repeated. Documents are
-    sorted by their leaf, then by their place, and ranges of both are dealt, so no group of copies can make a task larger. The
-    result reads from a work folder on shared storage. No rows, no pieces.
+    sorted by their leaf, then by their place; a sample's tokens say how many tasks a leaf needs, so that no group of copies makes a
+    task much larger. The result reads from a work folder on shared storage. No rows, no pieces.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         model = spark.sparkContext.broadcast(f.read())  # a vocabulary file, 2 MB
+    terms = _terms(tokenizer)
+    kind = _wide(terms)
     keep = docs.columns if keep is None else keep
     row = F.struct(*[docs[c] for c in keep]).alias("row") if keep else F.struct(F.lit(0).alias("none")).alias("row")
     sent = docs.select(row, F.monotonically_increasing_id().alias("at"), docs[text_col].cast("string").alias("text"))
     schema = T.StructType([sent.schema["row"], *T._parse_datatype_string(_OUT).fields])
-    inner = T.StructType([sent.schema["row"], T.StructField("at", T.LongType()), T.StructField("ids", T.BinaryType())])
+    inner = T.StructType([T.StructField("row", sent.schema["row"].dataType), *T._parse_datatype_string("at long, ids binary, terms binary, often binary, df binary").fields])
+    binary = pa.binary()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = remembering(model.value)
+        tokens, df, of_row = remembering(model.value), np.zeros(terms + 2, "<i8"), None
         for batch in batches:
-            ids = pa.array([tokens(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], inner.names)
-
-    rows = written(sent.mapInArrow(read, inner), f"{work_dir(spark, 'packing')}/ids")
-    counts = counted(rows, _terms(tokenizer))
+            of_row = batch.column(0).type
+            ids = [tokens(t.as_py()) for t in batch.column(2)]
+            found = [counts_of(x) for x in ids]
+            if ids:
+                df[:-2] += np.bincount(np.concatenate([t for t, _ in found]), minlength=terms)
+                df[-2:] += len(ids), sum(map(len, ids))
+            binaries = [[x.astype(kind).tobytes() for x in ids], [t.astype(kind).tobytes() for t, _ in found], [c.astype("<u4").tobytes() for _, c in found]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, binary) for x in binaries], pa.nulls(len(ids), binary)], inner.names)
+        if of_row is not None:  # the task's counts, in a row of their own
+            none = pa.nulls(1, binary)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, of_row), pa.nulls(1, pa.int64()), none, none, none, pa.array([df.tobytes()], binary)], inner.names)
+
+    folder = work_dir(spark, "packing")
+    rows = written(sent.mapInArrow(read, inner), f"{folder}/ids")
+    counts = corpus_of(rows, terms)
     corpus = spark.sparkContext.broadcast(counts)  # a number for each term
-    cuts = spark.sparkContext.broadcast(Cuts(_vectors(rows, corpus, counts.docs)))
+    rows = rows.where("at is not null")
+    vectors, lengths = _sampled(rows, corpus, kind, counts.docs)
+    cut = Cuts(vectors)
+    cuts = spark.sparkContext.broadcast(cut)
+    tasks = max(1, -(-int(counts.tokens) // (TASK_SHARDS * SHARD_TOKENS)))
+    first, parts = _tasks(cut.place(vectors), lengths, 1 << cut.depth, tasks)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = cuts.value.place(corpus.value.vectors(_ids(batch.column(2))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64())], [*inner.names, "leaf"])
+            leaf = cuts.value.place(corpus.value.vectors(_counts(batch.column(3), batch.column(4), kind)))
+            mixed = (batch.column(1).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            task = first[leaf] + (mixed % parts[leaf].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64()), pa.array(task, pa.int32())], [*placed.names, "leaf", "task"])
 
-    placed = rows.mapInArrow(place, T.StructType([*inner.fields, T.StructField("leaf", T.LongType())]))
-    tasks = max(1, -(-int(counts.tokens) // (TASK_SHARDS * SHARD_TOKENS)))
-    dealt = placed.repartitionByRange(tasks, "leaf", "at").sortWithinPartitions("leaf", "at").select("row", "ids")
+    placed = T.StructType(inner.fields[:-1])
+    dealt = rows.select(*placed.names).mapInArrow(place, T.StructType([*placed.fields, *T._parse_datatype_string("leaf long, task int").fields]))
+    dealt = dealt.repartitionById(tasks, "task").sortWithinPartitions("leaf", "at").select("row", "ids", "terms", "often")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequences = TaskContext.get().partitionId() << 33
         rows: list[pa.Array] = []
         shard: list[np.ndarray] = []
+        found: list[Counts] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            nonlocal rows, shard, size, sequences
-            pieces = pack(shard, window, corpus.value)
+            nonlocal rows, shard, found, size, sequences
+            pieces = pack(found, window, corpus.value)
             kept = pa.concat_arrays(rows)
             for at in range(0, len(pieces), 1024):
                 part = pieces[at : at + 1024]
                 cols = [kept.take(pa.array([p[0] for p in part], pa.int64()))]
                 cols += [pa.array(x, pa.int64()) for x in ([p[1] for p in part], [p[2] for p in part], [len(shard[p[0]]) for p in part], [sequences + p[3] for p in part], [p[4] for p in part])]
-                cols.append(pa.array([shard[d][s : s + n].tobytes() for d, s, n, _, _ in part], pa.binary()))
+                cols.append(pa.array([shard[d][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in part], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
             sequences += 1 + max((p[3] for p in pieces), default=0)
-            rows, shard, size = [], [], 0
+            rows, shard, found, size = [], [], [], 0
 
         for batch in batches:
             begun = 0
-            for i, ids in enumerate(_ids(batch.column(1))):
+            counted = _counts(batch.column(2), batch.column(3), kind)
+            for i, ids in enumerate(_views(batch.column(1), kind)):
                 shard.append(ids)
+                found.append(counted[i])
                 size += len(ids)
                 if len(shard) >= SHARD_DOCS or size >= SHARD_TOKENS:
                     rows.append(batch.column(0).slice(begun, i + 1 - begun))

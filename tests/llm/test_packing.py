@@ -61,13 +61,13 @@ def test_pack_without_gaps_or_padding():
     rng = np.random.default_rng(1)
     for n in (1, 2, 7, 300):
         docs = [rng.integers(0, 400, rng.integers(1, 300)).astype("<u4") for _ in range(n)] + [rng.integers(0, 400, 5000).astype("<u4")]
-        _whole(packing.pack(docs, 128), [len(d) for d in docs], 128)
+        _whole(packing.pack([packing.counts_of(d) for d in docs], 128), [len(d) for d in docs], 128)
 
 
 def test_scores_are_bm25():
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, 60, rng.integers(1, 40)) for _ in range(30)]
-    index, mean = packing.Index(docs), np.mean([len(d) for d in docs])
+    index, mean = packing.Index([packing.counts_of(d) for d in docs]), np.mean([len(d) for d in docs])
     for q in range(30):
         want = []
         for d in docs:
@@ -84,7 +84,7 @@ def test_windows_hold_a_seed_and_its_nearest_neighbours():
     docs = [np.array([100 * topic + rng.randrange(100) for _ in range(32)], "<u4") for _ in range(16) for topic in range(4)]
     topics = [i % 4 for i in range(64)]
     seq = defaultdict(set)
-    for d, _, _, s, _ in packing.pack(docs, 128):
+    for d, _, _, s, _ in packing.pack([packing.counts_of(d) for d in docs], 128):
         seq[s].add(topics[d])
     assert sum(len(t) == 1 for t in seq.values()) == len(seq)
 
@@ -92,13 +92,25 @@ def test_windows_hold_a_seed_and_its_nearest_neighbours():
 def test_weights_are_those_of_all_documents(spark):
     rng = np.random.default_rng(4)
     docs = [rng.integers(0, 60, rng.integers(1, 40)).astype("<u4") for _ in range(30)]
-    rows = spark.createDataFrame([(d.tobytes(),) for d in docs], "ids binary").repartition(5)
-    corpus = packing.counted(rows, 60)
+    found = [packing.counts_of(d) for d in docs]
+    notes = [np.zeros(62, "<i8") for _ in range(3)]
+    for i, d in enumerate(docs):
+        notes[i % 3][np.unique(d)] += 1
+        notes[i % 3][-2:] += 1, len(d)
+    rows = spark.createDataFrame([(n.tobytes(),) for n in notes] + [(None,)], "df binary").repartition(5)
+    corpus = packing.corpus_of(rows, 60)
     assert corpus.docs == 30 and corpus.tokens == sum(map(len, docs))
-    whole, part = packing.Index(docs), packing.Index(docs[:7], corpus)
+    whole, part = packing.Index(found), packing.Index(found[:7], corpus)
     assert np.allclose(part.scores(3), whole.scores(3)[:7])
 
 
+def test_a_large_leaf_has_several_tasks():
+    leaf = np.concatenate([np.full(600, 3), np.arange(8).repeat(50)])
+    first, parts = packing._tasks(leaf, np.ones(1000), 8, 20)
+    assert parts[3] == 13 and (parts[[0, 1, 2, 4, 5, 6, 7]] == 1).all() and (np.diff(first) >= 0).all() and (first + parts <= 20).all()
+    assert (packing._tasks(leaf, np.ones(1000), 8, 1)[1] == 1).all()
+
+
 def test_neighbours_meet_across_partitions(spark, monkeypatch):
     """Texts of one topic, far apart in the input and in other partitions, share windows."""
     monkeypatch.setattr(packing, "SHARD_DOCS", 16)
