@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, remove, work_dir, written
+from .common import FILTERED, map_texts, remove, settings, work_dir, written
 from .components import connected_components
 
 #: Children of a node of a tree.
@@ -187,23 +187,24 @@ class Forest:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _walk(names: np.ndarray, prints: np.ndarray, radius: int, forest: Forest) -> None:
+def _walk(names: np.ndarray, prints: np.ndarray, sizes: np.ndarray, radius: int, similarity: float, forest: Forest) -> None:
     """Join the members of one upper node by a radius so wide that a tree hardly prunes: from each member to all within the
-    radius that none has reached yet, so that one dense cluster is one pass."""
+    radius, and of a size that allows for the similarity, that none has reached yet, so that one dense cluster is one pass."""
     left = np.arange(len(names))
     while len(left):
         reached, left = [int(left[0])], left[1:]
         while reached and len(left):
             i = reached.pop()
             near = np.bitwise_count(prints[left] ^ prints[i]).sum(axis=1) <= radius
+            near &= np.minimum(sizes[left], sizes[i]) >= similarity * np.maximum(sizes[left], sizes[i]) - 1e-9
             found, left = left[near], left[~near]
             reached += found.tolist()
             for j in names[found].tolist():
                 forest.joins(int(names[i]), j)
 
 
-def _join(groups: np.ndarray, names: np.ndarray, prints: np.ndarray, radius: int, forest: Forest) -> None:
-    """Join what is linked among rows sorted by upper node and Gray rank."""
+def _join(groups: np.ndarray, names: np.ndarray, prints: np.ndarray, sizes: np.ndarray, radius: int, similarity: float, forest: Forest) -> None:
+    """Join what is linked among rows sorted by upper node and Gray rank; sizes count only for a wide radius."""
     starts = np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1])
     if radius * 8 < prints.shape[1] * 64:
         for i, j in GrayTrees(prints, starts).pairs(radius):
@@ -212,35 +213,35 @@ def _join(groups: np.ndarray, names: np.ndarray, prints: np.ndarray, radius: int
         return
     ends = np.append(starts[1:], len(groups))
     for first, last in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-        _walk(names[first:last], prints[first:last], radius, forest)
+        _walk(names[first:last], prints[first:last], sizes[first:last], radius, similarity, forest)
 
 
-def index_links(dealt: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) that connect all rows of `dealt` (node: long, prints: array<long>, bucket: long) which share a bucket and differ
-    in at most `radius` bits: for each task, what it linked and the smallest node of it, so that their number is linear."""
-    sorted_rows = dealt.select("bucket", "node", "prints").repartition("bucket").withColumn("rank", _rank_column(F.col("prints")[0])).sortWithinPartitions("bucket", "rank")
+def index_links(dealt: DataFrame, radius: int, similarity: float = 0.0) -> DataFrame:
+    """Links (a, b) that connect all rows of `dealt` (node: long, prints: array<long>, size: long, bucket: long) which share a bucket
+    and differ in at most `radius` bits, and whose sizes allow for the similarity: for each task, what it linked and the smallest node of it, so that their number is linear."""
+    sorted_rows = dealt.select("bucket", "node", "prints", "size").repartition("bucket").withColumn("rank", _rank_column(F.col("prints")[0])).sortWithinPartitions("bucket", "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held, size = Forest(), [], 0
         for batch in batches:
             if batch.num_rows:
                 flat = batch.column(2).flatten().to_numpy().view(np.uint64)
-                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), flat.reshape(batch.num_rows, -1)))
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), flat.reshape(batch.num_rows, -1), batch.column(3).to_numpy()))
                 size += batch.num_rows
             if size >= CHUNK:
                 part = tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 whole = int(np.searchsorted(part[0], part[0][-1]))  # the last bucket may go on
                 held, size = [tuple(x[whole:] for x in part)], size - whole
                 if whole:
-                    _join(*(x[:whole] for x in part), radius, forest)
+                    _join(*(x[:whole] for x in part), radius, similarity, forest)
             if len(forest.up) > HELD:
                 yield forest.stars()
                 forest = Forest()
         if size:
-            _join(*(np.concatenate(x) for x in zip(*held, strict=True)), radius, forest)
+            _join(*(np.concatenate(x) for x in zip(*held, strict=True)), radius, similarity, forest)
         yield forest.stars()
 
-    return sorted_rows.select("bucket", "node", "prints").mapInArrow(run, "a long, b long")
+    return sorted_rows.select("bucket", "node", "prints", "size").mapInArrow(run, "a long, b long")
 
 
 def linked_fingerprints(prints: DataFrame, folder: str, radius: int = 2) -> DataFrame:
@@ -259,7 +260,7 @@ def linked_fingerprints(prints: DataFrame, folder: str, radius: int = 2) -> Data
         left = [b for b in range(64) if not (m >> b) & 1]
         inner.append(F.array(*[F.xxhash64("bucket", F.lit(i), F.lit(j), F.col("node").bitwiseAND(F.lit(x))) for j, x in enumerate(_blocks(left, radius + 1))]))
     parts = F.element_at(F.array(*inner), F.col("upper.mask") + 1)
-    dealt = dealt.join(large, "bucket", "left").select("node", F.explode(F.when(F.col("large"), parts).otherwise(F.array("bucket"))).alias("bucket"), F.array("node").alias("prints"))
+    dealt = dealt.join(large, "bucket", "left").select("node", F.explode(F.when(F.col("large"), parts).otherwise(F.array("bucket"))).alias("bucket"), F.array("node").alias("prints"), F.lit(0).cast("long").alias("size"))
     return connected_components(index_links(dealt, radius), f"{folder}/components")
 
 
@@ -390,6 +391,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     folder = folder or work_dir(docs.sparkSession, "near-duplicates")
     named, decided = _decided(docs, id_col, text_col, words, similarity, recall, folder)
     gone = written(decided.where("not kept").select("at"), f"{folder}/gone")
+    for part in ("prints", "sets", "repeated", "compared", "placed"):
+        remove(docs.sparkSession, f"{folder}/{part}")
     return named.join(gone, "at", "left_anti").select("row.*")
 
 
@@ -403,21 +406,31 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     common = spark.sparkContext.broadcast(common_shingles(texts, words, named.count()))
     rows = written(map_texts(texts, "text", lambda: _wide_column(words, similarity, common.value), wide, ["id", "at"]).select("row.*", "out.*"), f"{folder}/prints")
     same = ["prints", "size", "sum"]
-    sets = written(rows.groupBy(*same).agg(F.min("at").alias("node")), f"{folder}/sets")
+    sets = rows.groupBy(*same).agg(F.min("at").alias("node"))
+    placed = written(rows.select("at", "id", *same).join(sets, same).select("at", "id", "node", "prints", "size"), f"{folder}/sets")
+    sets = placed.where("at = node").select("node", "prints", "size")
+    repeated = written(placed.where("at <> node").select("at"), f"{folder}/repeated")
 
-    prefixes = rows.select(F.col("at").alias("node"), "prefix").join(sets.select("node"), "node", "left_semi")
-    shared = _shared(prefixes, folder)
+    shared = _shared(rows.select("at", "prefix").join(repeated, "at", "left_anti").withColumnRenamed("at", "node"), folder)
     radius = radius_of(similarity, 128, recall)
-    near_prints = lambda dealt: index_links(dealt.join(sets.select("node", "prints"), "node").withColumnRenamed("group", "bucket"), radius)
+    near_prints = lambda dealt: index_links(dealt.withColumnRenamed("group", "bucket").join(sets, "node"), radius, similarity)
     proposed = _connected(shared.withColumn("size", F.lit(1)), near_prints, MANY, f"{folder}/proposed")
     remove(spark, f"{folder}/shared")
 
+    def near_texts(dealt: DataFrame) -> DataFrame:
+        dealt = written(dealt, f"{folder}/asked-{len(asked)}").where("node >= 0")  # which holds for all; Spark makes Bloom filters of conditions
+        asked.append(dealt)
+        return _verified(dealt.join(texts.select(F.col("at").alias("node"), "text"), "node"), words, similarity)
+
+    asked: list[DataFrame] = []
     members = proposed.join(sets.select("node", "size"), "node").select(F.col("root").alias("group"), "node", "size")
-    near_texts = lambda dealt: _verified(dealt.join(texts.select(F.col("at").alias("node"), "text"), "node"), words, similarity)
-    groups = _connected(members, near_texts, BLOCK, f"{folder}/compared")
+    with settings(spark, FILTERED):
+        groups = _connected(members, near_texts, BLOCK, f"{folder}/compared")
+    for i in range(len(asked)):
+        remove(spark, f"{folder}/asked-{i}")
     remove(spark, f"{folder}/proposed")
 
-    placed = rows.join(sets, same).select("at", "id", "node").join(groups, "node", "left").select("at", "id", F.coalesce("root", "node").alias("root"))
+    placed = placed.join(groups, "node", "left").select("at", "id", F.coalesce("root", "node").alias("root"))
     placed = written(placed, f"{folder}/placed")
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "at")).alias("best"))
     return named, placed.join(best, "root").select("at", F.col("best.id").alias("keep_id"), (F.col("at") == F.col("best.at")).alias("kept"))

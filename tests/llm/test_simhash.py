@@ -177,7 +177,7 @@ def test_upper_nodes_join_what_the_radius_connects(radius):
     prints = prints[np.argsort(simhash.gray_rank(prints[:, 0]), kind="stable")]
     want = components(150, lambda i, j: int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= radius)
     forest = simhash.Forest()
-    simhash._join(np.zeros(150, np.int64), np.arange(150), prints, radius, forest)
+    simhash._join(np.zeros(150, np.int64), np.arange(150), prints, np.ones(150, np.int64), radius, 0.8, forest)
     stars = dict(zip(*(c.to_pylist() for c in forest.stars().columns), strict=True))
     assert [stars.get(i, i) for i in range(150)] == want
 
@@ -187,7 +187,7 @@ def test_one_cluster_of_many_near_copies_is_a_pass_over_it():
     prints = _scattered(10, 50_000, 2, 1, 12)
     names = np.arange(50_000)
     forest, began = simhash.Forest(), time.monotonic()
-    simhash._join(np.zeros(50_000, np.int64), names, prints, 47, forest)
+    simhash._join(np.zeros(50_000, np.int64), names, prints, np.full(50_000, 100), 47, 0.8, forest)
     assert time.monotonic() - began < 20 and len(forest.stars()) == 49_999
     words = np.arange(300, dtype=np.uint64)
     sets = [(i, np.delete(words, [i % 300, i * 7 % 300])) for i in range(3000)]
