@@ -7,47 +7,27 @@ Every further hit is then checked byte for byte against the located content. All
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, work_dir, written
+from .common import FILTERED, settings, text_or_empty, work_dir, written
 
 #: Deleted before texts are compared: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Rows of a group that one copy of the kept text is compared with in one task.
 ROWS_A_SALT = 2048
 
-#: Let Spark filter the texts by the smaller side of their join, however large the tables are.
-_FILTERED = {
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB",
-}
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # there may be many small stores
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",  # of all stores in an executor
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
 }
 
 
-@contextmanager
-def _settings(spark: SparkSession, changed: dict[str, str]) -> Iterator[None]:
-    """Settings of the session for a while."""
-    before = {k: spark.conf.get(k, None) for k in changed}
-    for k, v in changed.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def normalised(text: Column) -> Column:
     return F.translate(text_or_empty(text), BLANKS, "")
 
@@ -62,24 +42,29 @@ def _fold(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), first.alias("best"))
 
 
-def _state_of(content: DataFrame, path: str, folder: str) -> DataFrame:
-    """Run the content table through the keyed state; returns the state's rows, one for each digest."""
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _state_of(content: DataFrame, folder: str) -> DataFrame:
+    """Run what is new in the content table through the keyed state; returns the state's rows, one for each digest."""
     spark, table = content.sparkSession, f"{folder}/groups"
-    with _settings(spark, _STATE):
-        arriving = spark.readStream.schema(content.schema).parquet(path).select("digest", "id", "points", "locator")
-        schema = _fold(content, "digest").schema
+    schema = _fold(content, "digest").schema
+    with settings(spark, _STATE):
+        arriving = spark.readStream.schema(content.schema).parquet(f"{folder}/content").select("digest", "id", "points", "locator")
         query = (
             _fold(arriving, "digest").writeStream.outputMode("update")
             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-            .foreachBatch(lambda changed, n: changed.write.mode("overwrite").parquet(f"{table}/batch={n}"))
+            .foreachBatch(lambda changed, n: changed.write.mode("overwrite").parquet(f"{table}/turn={n}"))
             .start()
         )
         query.awaitTermination()
-    if query.lastProgress is None or not query.recentProgress or all(p["numInputRows"] == 0 for p in query.recentProgress):
+    if not _there(spark, table):
         return spark.createDataFrame([], schema)
-    changed = spark.read.schema(schema.add("batch", "long")).parquet(table)
-    if sum(p["numInputRows"] > 0 for p in query.recentProgress) > 1:  # a digest may have changed in several batches: its last state counts
-        changed = changed.groupBy("digest").agg(F.max_by(F.struct("group_size", "best"), "batch").alias("s")).select("digest", "s.*")
+    changed = spark.read.schema(schema.add("turn", "long")).parquet(table)
+    if changed.select("turn").distinct().count() > 1:  # a digest may have changed in several turns: its last state counts
+        changed = changed.groupBy("digest").agg(F.max_by(F.struct("group_size", "best"), "turn").alias("s")).select("digest", "s.*")
     return changed.select("digest", "group_size", "best")
 
 
@@ -95,42 +80,67 @@ def _unequal(content: DataFrame, many: DataFrame, path: str) -> DataFrame:
     hits = moved.where(~stays).select("digest", F.pmod(F.hash("locator"), salts).alias("salt"), "body")
     located = moved.where(stays).select("digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("body").alias("located"))
     unequal = hits.join(located, ["digest", "salt"]).where("body <> located").select("digest").distinct()
-    with _settings(content.sparkSession, _FILTERED):
+    with settings(content.sparkSession, FILTERED):
         return written(unequal, path)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, folder: str | None = None) -> DataFrame:
+class _Found:
+    """The content table, its groups, and the digests whose texts are not all equal."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, digest, folder: str | None, batch: int) -> None:
+        spark = docs.sparkSession
+        self.folder = folder = folder or work_dir(spark, "exact-dedup")
+        plain = normalised(docs[text_col])
+        content = docs.select(
+            F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.char_length(text_or_empty(docs[text_col])).alias("points"),
+            digest(plain).alias("digest"), sha256(plain).alias("text_sha256"), F.struct(F.lit(batch).alias("batch"), F.monotonically_increasing_id().alias("row")).alias("locator"),
+        )
+        place = f"{folder}/content/batch={batch}"
+        if not _there(spark, f"{place}/_SUCCESS"):
+            content.write.mode("overwrite").parquet(place)
+        self.content = spark.read.schema(content.schema).parquet(f"{folder}/content")
+        self.groups = _state_of(self.content, folder)
+        self.body = normalised(F.col(f"row.{text_col}")).cast("binary").alias("body")
+        # The groups of several rows, mostly few, decide alone which rows go: as a table of their own they can be broadcast while they
+        # are few; the condition, which all its rows meet, lets Spark make a Bloom filter of it beyond that.
+        self.many = written(self.groups.where("group_size > 1"), f"{folder}/many-{batch}").where("group_size > 1")
+        self.unequal = _unequal(self.content.select("digest", "locator", self.body), self.many, f"{folder}/unequal-{batch}")
+
+    def apart(self) -> DataFrame:
+        """The rows of unequal digests, in groups by their full texts."""
+        apart = self.content.join(self.unequal, "digest", "left_semi").withColumn("body", self.body)
+        return apart.join(_fold(apart, "digest", "body"), ["digest", "body"])
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, folder: str | None = None, batch: int = 0) -> DataFrame:
     """For every row of `docs`: `row` (all its columns), `id`, `keep_id`, `group_size`, `kept`, `text_sha256`.
 
     Texts are equal when identical after deleting every blank of `BLANKS`; null counts as empty. Of equal texts the row with
     the most code points stays, then the one with the smallest identifier (null comes last); of rows that tie in both, such as
     repeated rows, exactly one stays. An empty table gives an empty result. Other columns, whatever their names, stay in `row`.
     `digest` may be any function of the normalised text: rows that collide in it are told apart by their full texts.
-    `folder` is a work folder on shared storage, which the result reads from.
+
+    `folder` is a work folder on shared storage, which the result reads from. One that holds the state of earlier batches is
+    continued: `docs`, with a `batch` number of its own, are added to those, and the result has the rows of all batches. A batch
+    that has been stored isn't stored again, so a call that failed may be repeated. A locator is the batch, and the part and
+    the row in it where the content stands.
     """
-    folder = folder or work_dir(docs.sparkSession, "exact-dedup")
-    plain = normalised(docs[text_col])
-    content = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.char_length(text_or_empty(docs[text_col])).alias("points"),
-        digest(plain).alias("digest"), sha256(plain).alias("text_sha256"), F.monotonically_increasing_id().alias("locator"),
-    )
-    content = written(content, f"{folder}/content")
-    groups = _state_of(content, f"{folder}/content", folder)
-
-    linked = content.join(groups, "digest")
+    found = _Found(docs, id_col, text_col, digest, folder, batch)
     stays = F.col("locator") == F.col("best.locator")
-    body = normalised(F.col(f"row.{text_col}")).cast("binary").alias("body")
-    unequal = _unequal(content.select("digest", "locator", body), groups.where("group_size > 1"), f"{folder}/unequal")
-
+    linked = found.content.join(found.groups, "digest")
     out = [F.col("id"), F.col("best.id").alias("keep_id"), "group_size", stays.alias("kept"), "text_sha256"]
-    if unequal.isEmpty():
+    if found.unequal.isEmpty():
         return linked.select("row", *out)
-    sound = linked.join(unequal, "digest", "left_anti").select("row", *out)
-    apart = content.join(unequal, "digest", "left_semi").withColumn("body", body)
-    exact = apart.join(_fold(apart, "digest", "body"), ["digest", "body"])
-    return sound.unionByName(exact.select("row", *out))
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    return exact_dedup(docs, id_col, text_col, **options).where("kept").select("row.*")
+    return linked.join(found.unequal, "digest", "left_anti").select("row", *out).unionByName(found.apart().select("row", *out))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, folder: str | None = None, batch: int = 0) -> DataFrame:
+    """The rows that stay, with all their columns. Only the locators of the others are joined, so that texts don't move as long as
+    those are few enough for Spark to broadcast."""
+    found = _Found(docs, id_col, text_col, digest, folder, batch)
+    goes = F.col("locator") != F.col("best.locator")
+    gone = found.content.select("digest", "locator").join(found.many, "digest").where(goes)
+    if not found.unequal.isEmpty():
+        gone = gone.join(found.unequal, "digest", "left_anti").select("locator").unionByName(found.apart().where(goes).select("locator"))
+    gone = written(gone.select("locator"), f"{found.folder}/gone-{batch}")
+    return found.content.join(gone, "locator", "left_anti").select("row.*")

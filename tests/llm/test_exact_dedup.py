@@ -69,3 +69,24 @@ def test_empty_table_columns_and_no_python(spark):
     out = exact_dedup.deduplicated(docs)
     assert out.columns == docs.columns
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_state_is_kept_for_further_batches(spark, tmp_path):
+    """Later batches meet the state of earlier ones; a repeated call adds nothing."""
+    batches = [[(1, "a b"), (2, "c"), (3, None)], [(4, "ab"), (5, "a  b"), (6, "d")], [(7, "c "), (8, ""), (9, "c")]]
+    folder, so_far = str(tmp_path / "state"), []
+    for n, rows in enumerate(batches):
+        so_far += rows
+        for _ in range(2):
+            found = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), folder=folder, batch=n).collect()
+            assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in found) == sorted(_groups(so_far))
+    again = exact_dedup.deduplicated(spark.createDataFrame(batches[2], "doc_id long, text string"), folder=folder, batch=2)
+    assert sorted(r.doc_id for r in again.collect()) == sorted(i for i, _, _, kept in _groups(so_far) if kept)
+
+
+def _groups(rows):
+    out = []
+    for i, t in rows:
+        same = [(-len(u or ""), j) for j, u in rows if "".join((u or "").split()) == "".join((t or "").split())]
+        out.append((i, min(same)[1], len(same), min(same)[1] == i))
+    return out
