@@ -26,6 +26,8 @@ from .components import connected_components
 FANOUT = 8
 #: Queries that go down the trees together.
 TOGETHER = 4096
+#: Members of an upper node that begin together when few are linked, and comparisons that a step of a cluster may make.
+AHEAD, WORK = 16, 1 << 20
 #: Rows of upper nodes that a task works on together, and nodes after which it passes on what it linked.
 CHUNK, HELD = 1 << 16, 500_000
 #: Members of an upper node beyond which it is divided.
@@ -159,6 +161,79 @@ class GrayTrees:
                     node = np.repeat(child[node] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
                 yield query, node
 
+    def _reached(self, query: np.ndarray, radius: int, left: np.ndarray, later: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (query, other) below one upper node with at most `radius` differing bits, of others that are `left`, or of those
+        after the query alone. A group without such rows isn't entered either."""
+        count = np.concatenate([[0], np.cumsum(left)])
+        tops, found = self.top[self.upper[query]], []
+        for top in np.unique(tops).tolist():
+            q = query[tops == top]
+            node = self.levels[top][4][self.upper[q]]
+            done, seen = np.zeros(len(q), np.int64), None
+            for level in range(top, -1, -1):
+                mask, pattern, child, last, _ = self.levels[level]
+                begin = np.where(node > 0, last[node - 1], 0)
+                ahead = count[last[node]] > count[np.minimum(np.maximum(begin, q + 1), last[node]) if later else begin]
+                if not ahead.all():
+                    q, node, done = q[ahead], node[ahead], done[ahead]
+                    seen = None if seen is None else seen[ahead]
+                fresh = mask[node] if seen is None else mask[node] & ~seen
+                done = done + np.bitwise_count((self.prints[q] ^ pattern[node]) & fresh).sum(axis=1)
+                near = done <= radius
+                if level:
+                    self.pruned += len(near) - int(near.sum())
+                q, node, done = q[near], node[near], done[near]
+                if level:
+                    wide = child[node + 1] - child[node]
+                    seen = np.repeat(mask[node], wide, axis=0)
+                    q, done = np.repeat(q, wide), np.repeat(done, wide)
+                    node = np.repeat(child[node] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
+            found.append((q, node))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def joins(self, radius: int, sizes: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of pairs that connect all rows which pairs below one upper node connect, with at most `radius` differing bits and
+        sizes that allow for the similarity: from each row to those that none has reached yet, so that a dense cluster is one pass.
+
+        Each upper node's first rows that are left go down its tree together. The first of them that reaches others begins a
+        cluster, which is followed to its end; those before it are alone, and those after it wait."""
+        n = len(self.prints)
+        begin = self.levels[0][4]
+        end = np.append(begin[1:], n)
+        left, many = np.ones(n, bool), np.ones(len(begin), np.int64)
+
+        def reached(query: np.ndarray, later: bool = False) -> tuple[np.ndarray, np.ndarray]:
+            q, t = self._reached(query, radius, left, later)
+            fits = np.minimum(sizes[q], sizes[t]) >= similarity * np.maximum(sizes[q], sizes[t]) - 1e-9
+            return q[fits], t[fits]
+
+        def others() -> np.ndarray:
+            count = np.concatenate([[0], np.cumsum(left)])
+            return count[end] - count[begin]
+
+        while len(open_ := np.flatnonzero((some := others()) > 1)):
+            rows = np.flatnonzero(left)
+            first = (np.cumsum(some) - some)[open_]
+            some = np.minimum(many[open_], some[open_])
+            asked = rows[np.repeat(first - np.cumsum(some) + some, some) + np.arange(some.sum())]
+            q, t = reached(asked, later=True)
+            seed = np.full(len(begin), n)
+            np.minimum.at(seed, self.upper[q], q)
+            left[asked[asked <= seed[self.upper[asked]]]] = False
+            many[open_] = np.where(seed[open_] < n, 1, np.minimum(2 * many[open_], AHEAD))
+            mine = q == seed[self.upper[q]]
+            yield q[mine], t[mine]
+            ahead = t[mine]
+            left[ahead] = False
+            while len(ahead):
+                work = np.cumsum(others()[self.upper[ahead]])
+                cut = max(1, int(np.searchsorted(work, WORK, side="right")))
+                q, t = reached(ahead[:cut])
+                t, at = np.unique(t, return_index=True)
+                yield q[at], t
+                left[t] = False
+                ahead = np.concatenate([ahead[cut:], t])
+
 
 class Forest:
     """Union of nodes by name; a tree's root is its smallest node."""
@@ -187,33 +262,14 @@ class Forest:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _walk(names: np.ndarray, prints: np.ndarray, sizes: np.ndarray, radius: int, similarity: float, forest: Forest) -> None:
-    """Join the members of one upper node by a radius so wide that a tree hardly prunes: from each member to all within the
-    radius, and of a size that allows for the similarity, that none has reached yet, so that one dense cluster is one pass."""
-    left = np.arange(len(names))
-    while len(left):
-        reached, left = [int(left[0])], left[1:]
-        while reached and len(left):
-            i = reached.pop()
-            near = np.bitwise_count(prints[left] ^ prints[i]).sum(axis=1) <= radius
-            near &= np.minimum(sizes[left], sizes[i]) >= similarity * np.maximum(sizes[left], sizes[i]) - 1e-9
-            found, left = left[near], left[~near]
-            reached += found.tolist()
-            for j in names[found].tolist():
-                forest.joins(int(names[i]), j)
-
-
 def _join(groups: np.ndarray, names: np.ndarray, prints: np.ndarray, sizes: np.ndarray, radius: int, similarity: float, forest: Forest) -> None:
     """Join what is linked among rows sorted by upper node and Gray rank; sizes count only for a wide radius."""
     starts = np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1])
-    if radius * 8 < prints.shape[1] * 64:
-        for i, j in GrayTrees(prints, starts).pairs(radius):
-            for a, b in zip(names[i].tolist(), names[j].tolist(), strict=True):
-                forest.joins(a, b)
-        return
-    ends = np.append(starts[1:], len(groups))
-    for first, last in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-        _walk(names[first:last], prints[first:last], sizes[first:last], radius, similarity, forest)
+    trees = GrayTrees(prints, starts)
+    # Within a wide radius a cluster has far more pairs than it needs.
+    for i, j in trees.pairs(radius) if radius * 8 < prints.shape[1] * 64 else trees.joins(radius, sizes, similarity):
+        for a, b in zip(names[i].tolist(), names[j].tolist(), strict=True):
+            forest.joins(a, b)
 
 
 def index_links(dealt: DataFrame, radius: int, similarity: float = 0.0) -> DataFrame:

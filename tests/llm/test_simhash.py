@@ -195,6 +195,50 @@ def test_one_cluster_of_many_near_copies_is_a_pass_over_it():
     assert len(simhash.similar_links(sets, 0.8)) == 2999 and time.monotonic() - began < 20
 
 
+def _clusters(seed, sizes, flips):
+    """Clusters of fingerprints of 128 bits around random ones, by Gray rank, and which cluster each is of."""
+    rng = np.random.default_rng(seed)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    prints = rng.integers(0, 1 << 64, (len(sizes), 2), np.uint64)[of]
+    for _ in range(flips):
+        prints[np.arange(len(of)), rng.integers(0, 2, len(of))] ^= np.uint64(1) << rng.integers(0, 64, len(of)).astype(np.uint64)
+    order = np.argsort(simhash.gray_rank(prints[:, 0]), kind="stable")
+    return prints[order], of[order]
+
+
+def test_a_wide_radius_goes_down_the_trees(monkeypatch):
+    """The near-duplicates' radius: trees decide, prune groups of other clusters, and link what comparing all pairs links."""
+    made = []
+
+    class Seen(simhash.GrayTrees):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(simhash, "GrayTrees", Seen)
+    for seed, sizes, flips, work in [(1, [300, 200, 100, 50, 1, 1], 6, 1 << 20), (2, [1] * 300, 0, 1 << 20), (3, [40] * 8, 22, 500)]:
+        monkeypatch.setattr(simhash, "WORK", work)
+        prints, _ = _clusters(seed, sizes, flips)
+        n = len(prints)
+        groups, weights = np.sort(np.arange(n) % 3), np.random.default_rng(seed).integers(80, 110, n)
+        order = np.concatenate([np.arange(n)[groups == g][np.argsort(simhash.gray_rank(prints[groups == g, 0]), kind="stable")] for g in range(3)])
+        prints = prints[order]
+        near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= 47
+        fits = np.minimum(weights[:, None], weights) >= 0.8 * np.maximum(weights[:, None], weights)
+        want = components(n, lambda i, j, near=near & fits & (groups[:, None] == groups): near[i, j])
+        forest = simhash.Forest()
+        simhash._join(groups, np.arange(n), prints, weights, 47, 0.8, forest)
+        assert [forest.root(i) for i in range(n)] == want
+    assert len(made) == 3 and made[0].pruned > 100
+
+
+def test_many_unlike_members_of_an_upper_node_are_bounded():
+    prints, _ = _clusters(4, [1] * 5000, 0)
+    forest, began = simhash.Forest(), time.monotonic()
+    simhash._join(np.zeros(5000, np.int64), np.arange(5000), prints, np.full(5000, 100), 47, 0.8, forest)
+    assert time.monotonic() - began < 20
+
+
 def test_shared_shingles_of_prefixes(spark, monkeypatch, tmp_path):
     rng = random.Random(11)
     lists = [(i, [rng.randrange(300) for _ in range(rng.randrange(6))]) for i in range(200)] + [(1000 + i, [7]) for i in range(500)]
