@@ -14,12 +14,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FILTERED, map_texts, remove, settings, work_dir, written
+from .common import FILTERED, few, map_texts, remove, settings, trimmed, work_dir, written
 from .components import connected_components
 
 #: Children of a node of a tree.
@@ -34,8 +34,10 @@ CHUNK, HELD = 1 << 16, 500_000
 MANY = 20_000
 #: Shingles in one block of a candidate group; what a group of several blocks must compare across them is compared two blocks in a task.
 BLOCK = 100_000
-#: Shingles of prefixes that a task sorts together.
-FLUSH = 1 << 21
+#: Shingles of prefixes that a task sorts together, and those that are dealt to one task.
+FLUSH, DEALT = 1 << 19, 1 << 19
+#: Texts with the same shingles as an earlier one whose numbers every executor gets (16 MB); more of them are joined.
+REPEATED = 1 << 21
 
 #: Texts whose shingles say which ones are common, and in how many of them a common one is. Only the order of shingles depends on it.
 ORDER_TEXTS, COMMON = 10_000, 4
@@ -443,13 +445,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.999999, folder: str | None = None) -> DataFrame:
     """The rows of `docs` that stay, with all their columns. Only the numbers of the others are joined, so that texts don't move
-    as long as those are few enough for Spark to broadcast."""
+    as long as those are at most FEW."""
     folder = folder or work_dir(docs.sparkSession, "near-duplicates")
     named, decided = _decided(docs, id_col, text_col, words, similarity, recall, folder)
     gone = written(decided.where("not kept").select("at"), f"{folder}/gone")
     for part in ("prints", "sets", "repeated", "compared", "placed"):
         remove(docs.sparkSession, f"{folder}/{part}")
-    return named.join(gone, "at", "left_anti").select("row.*")
+    return named.join(few(gone), "at", "left_anti").select("row.*")
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, recall: float, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -467,15 +469,17 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     sets = placed.where("at = node").select("node", "prints", "size")
     repeated = written(placed.where("at <> node").select("at"), f"{folder}/repeated")
 
-    shared = _shared(rows.select("at", "prefix").join(repeated, "at", "left_anti").withColumnRenamed("at", "node"), folder)
+    shingles = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    shared = _shared(rows.select(F.col("at").alias("node"), "prefix"), folder, shingles, repeated)
     radius = radius_of(similarity, 128, recall)
     near_prints = lambda dealt: index_links(dealt.withColumnRenamed("group", "bucket").join(sets, "node"), radius, similarity)
     proposed = _connected(shared.withColumn("size", F.lit(1)), near_prints, MANY, f"{folder}/proposed")
     remove(spark, f"{folder}/shared")
 
     def near_texts(dealt: DataFrame) -> DataFrame:
-        dealt = written(dealt, f"{folder}/asked-{len(asked)}").where("node >= 0")  # which holds for all; Spark makes Bloom filters of conditions
+        dealt = written(dealt, f"{folder}/asked-{len(asked)}")
         asked.append(dealt)
+        dealt = few(dealt).where("node >= 0")  # which holds for all; Spark makes Bloom filters of conditions
         return _verified(dealt.join(texts.select(F.col("at").alias("node"), "text"), "node"), words, similarity)
 
     asked: list[DataFrame] = []
@@ -492,27 +496,59 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     return named, placed.join(best, "root").select("at", F.col("best.id").alias("keep_id"), (F.col("at") == F.col("best.at")).alias("kept"))
 
 
-def _shared(sets: DataFrame, folder: str) -> DataFrame:
-    """(group, node) for the shingles of prefixes (node, prefix) that several nodes share.
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, first the lowest of each: the upper ones of sorted or near numbers are runs, which Spark compresses well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    Most shingles are in one prefix only, so numbers alone are dealt first, and fingerprints later to what is shared. What a task
-    finds shared among its own rows isn't dealt but for one row, so that a shingle of very many rows is a row for each task.
+
+def _from_planes(data: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data.as_buffer(), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _shared(sets: DataFrame, folder: str, shingles: int = 1, repeated: DataFrame | None = None) -> DataFrame:
+    """(group, node) for the shingles of prefixes (node, prefix), about `shingles` in all, that several nodes share, but for the nodes
+    in `repeated` (at).
+
+    Most shingles are in one prefix only, so numbers alone are dealt first, packed, and fingerprints later to what is shared. What
+    a task finds shared among its own rows isn't dealt but for one row, so that a shingle of very many rows is a row for each task;
+    the others go to any task, which passes them on.
     """
+    parts = max(1, -(-shingles // DEALT))
+    gone = np.zeros(0, np.int64)
+    if repeated is not None and repeated.count() > REPEATED:
+        sets = sets.join(repeated.withColumnRenamed("at", "node"), "node", "left_anti")
+    elif repeated is not None:
+        gone = np.sort(repeated.toArrow().column("at").to_numpy())
+    skipped = sets.sparkSession.sparkContext.broadcast(np.append(gone, np.iinfo(np.int64).max))  # no place is so large
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, turn = [], 0, TaskContext.get().partitionId()
 
         def out() -> Iterator[pa.RecordBatch]:
+            nonlocal turn
             group, node = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((node, group))
+            group = group.view(np.uint64)
+            order = np.argsort(group, kind="stable")
             group, node = group[order], node[order]
             more = np.concatenate([group[1:] == group[:-1], [False]])  # the next row has the same shingle
-            kind = np.where(np.concatenate([[False], more[:-1]]), 2, more.astype(np.int8)).astype(np.int8)
-            for i in range(0, len(group), 1 << 14):
-                part = slice(i, i + (1 << 14))
-                yield pa.RecordBatch.from_arrays([pa.array(group[part]), pa.array(node[part]), pa.array(kind[part])], ["group", "node", "kind"])
+            rest = np.concatenate([[False], more[:-1]])
+            rows = []
+            dealt, of, first = group[~rest], node[~rest], more[~rest]
+            cut = np.append(np.searchsorted(dealt, np.array([(p << 64) // parts for p in range(parts)], np.uint64)), len(dealt))
+            for p, a, b in zip(range(parts), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if a < b:
+                    rows.append((p, _planes(dealt[a:b]), _planes(of[a:b]), first[a:b].tobytes()))
+            passed, of = group[rest], node[rest]
+            for a in range(0, len(passed), 1 << 14):
+                rows.append((turn % parts, _planes(passed[a : a + (1 << 14)]), _planes(of[a : a + (1 << 14)]), None))
+                turn += 1
+            for a in range(0, len(rows), 64):
+                cols = list(zip(*rows[a : a + 64], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["part", "groups", "nodes", "more"])
 
         for batch in batches:
+            node = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array(skipped.value[np.searchsorted(skipped.value, node)] != node))
             lists = batch.column(1)
             n = np.diff(lists.offsets.to_numpy())
             held.append((lists.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), n)))
@@ -522,12 +558,33 @@ def _shared(sets: DataFrame, folder: str) -> DataFrame:
                 held, size = [], 0
         if size:
             yield from out()
+        trimmed()
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
 
-    dealt = written(sets.select("node", "prefix").mapInArrow(run, "group long, node long, kind byte"), f"{folder}/dealt")
-    several = dealt.where("kind < 2").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("group"))).where("n > 1 or kind = 1")
-    shared = written(several.select("group", "node").unionByName(dealt.where("kind = 2").select("group", "node")), f"{folder}/shared")
-    remove(sets.sparkSession, f"{folder}/dealt")
-    return shared
+        def out(group: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(group), 1 << 14):
+                yield pa.RecordBatch.from_arrays([pa.array(group[i : i + (1 << 14)]), pa.array(node[i : i + (1 << 14)])], ["group", "node"])
+
+        for batch in batches:
+            for groups, nodes, more in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+                if more.is_valid:
+                    held.append((_from_planes(groups), _from_planes(nodes), np.frombuffer(more.as_buffer(), bool)))
+                else:
+                    yield from out(_from_planes(groups), _from_planes(nodes))
+        if held:
+            group, node, several = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(group, kind="stable")
+            group, node, several = group[order], node[order], several[order]
+            same = group[1:] == group[:-1]
+            several[1:] |= same
+            several[:-1] |= same
+            yield from out(group[several], node[several])
+        trimmed()
+
+    dealt = sets.select("node", "prefix").mapInArrow(deal, "part int, groups binary, nodes binary, more binary").repartitionById(parts, "part")
+    return written(dealt.mapInArrow(match, "group long, node long"), f"{folder}/shared")
 
 
 def _connected(members: DataFrame, links: Callable[[DataFrame], DataFrame], limit: int, folder: str) -> DataFrame:

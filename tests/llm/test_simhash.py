@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palimpsest.llm import simhash
+from palimpsest.llm import common, simhash
 from palimpsest.llm.components import connected_components
 from palimpsest.llm.queries import op2_simhash_near_dedup
 
@@ -239,6 +239,27 @@ def test_many_unlike_members_of_an_upper_node_are_bounded():
     assert time.monotonic() - began < 20
 
 
+def test_shared_shingles_over_several_tasks(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(13)
+    hashes = rng.integers(-(1 << 63), 1 << 63, 300)
+    lists = [(i << 33 | i, [int(hashes[k]) for k in np.unique(rng.integers(0, 300, 3))]) for i in range(200)]
+    monkeypatch.setattr(simhash, "DEALT", 100)
+    held = {}
+    for i, x in lists:
+        for h in x:
+            held.setdefault(h, []).append(i)
+    want = sorted((h, i) for h, x in held.items() for i in x if len(x) > 1)
+    docs = spark.createDataFrame(lists, "node long, prefix array<long>").repartition(3)
+    assert sorted(map(tuple, simhash._shared(docs, str(tmp_path / "a"), 600).collect())) == want
+    some = {x[0] for x in lists[::7]}
+    held = {h: [i for i in x if i not in some] for h, x in held.items()}
+    want = sorted((h, i) for h, x in held.items() for i in x if len(x) > 1)
+    gone = spark.createDataFrame([(i,) for i in some], "at long")
+    for limit in (1 << 20, 3):
+        monkeypatch.setattr(simhash, "REPEATED", limit)
+        assert sorted(map(tuple, simhash._shared(docs, str(tmp_path / str(limit)), 600, gone).collect())) == want
+
+
 def test_shared_shingles_of_prefixes(spark, monkeypatch, tmp_path):
     rng = random.Random(11)
     lists = [(i, [rng.randrange(300) for _ in range(rng.randrange(6))]) for i in range(200)] + [(1000 + i, [7]) for i in range(500)]
@@ -295,6 +316,15 @@ def test_repeated_rows_null_identifiers_and_empty_tables(spark):
     assert simhash.simhash_groups(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
 
 
+def test_few_rows_move_no_texts_whatever_the_threshold(spark, tmp_path, monkeypatch):
+    table = common.written(spark.range(1000), str(tmp_path / "t"))
+    plan = lambda: spark.range(5000).join(common.few(table), "id", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    with common.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        assert "BroadcastHashJoin" in plan()
+        monkeypatch.setattr(common, "FEW", 999)
+        assert "BroadcastHashJoin" not in plan()
+
+
 def test_connected_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 500)] + [(600, 600), (5, 5)]
