@@ -9,6 +9,7 @@ tasks' weights are averaged. A document's score is the sum of its tokens' condit
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,9 @@ OWN, SHARED, GROUP = 960, 64, 32
 CLASSES = OWN + SHARED
 #: Tokens on either side, and units of the hidden layer.
 WINDOW, HIDDEN = 3, 24
-#: Rounds of training, and one in so many documents for a round, but so many documents at least (a small corpus is read again):
-#: what is learned from grows with the corpus.
-ROUNDS, SHARE, LEAST = 4, 64, 2_000
+#: Rounds of training, of an equal share of the documents each, but so many documents at least (a small corpus is read again): all
+#: are learned from.
+ROUNDS, LEAST = 4, 2_000
 BATCH, RATE = 4096, 0.1
 #: Tasks that add up what the others learned, and tokens that a task counts together.
 SUMS, TOGETHER = 16, 1 << 21
@@ -290,7 +291,7 @@ def _round(texts: DataFrame, model: Model, turn: int, share: float) -> np.ndarra
     """The mean of what all tasks learn from this round's documents, weighted by their tokens; nothing without tokens."""
     shared = texts.sparkSession.sparkContext.broadcast(model)  # 6 MB whatever the corpus
     cells = 1 << 30
-    mine = texts.where(F.pmod(F.pmod(F.xxhash64("text"), F.lit(cells)) - int(turn * share * cells), F.lit(cells)) < int(share * cells))
+    mine = texts.where(F.pmod(F.pmod(F.xxhash64("text"), F.lit(cells)) - int(turn * share * cells), F.lit(cells)) < math.ceil(share * cells))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(shared.value.words, WindowNetwork(shared.value.words.share))
@@ -318,12 +319,12 @@ def _round(texts: DataFrame, model: Model, turn: int, share: float) -> np.ndarra
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """Count the words of all documents, then train the network on ROUNDS shares of them, picked by a hash of the text. Null texts
-    have no words; without documents the model knows none."""
+    """Count the words of all documents, then train the network on all of them, in ROUNDS shares picked by a hash of the text. Null
+    texts have no words; without documents the model knows none."""
     words = vocabulary(word_counts(docs, text_col))
     model = Model(words, WindowNetwork(words.share))
     texts = docs.select(docs[text_col].cast("string").alias("text"))
-    share = min(1.0, max(1 / SHARE, LEAST / max(1, texts.count())))
+    share = min(1.0, max(1 / ROUNDS, LEAST / max(1, texts.count())))
     for turn in range(ROUNDS):
         learned = _round(texts, model, turn, share)
         if learned is not None:

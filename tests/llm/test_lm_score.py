@@ -163,3 +163,11 @@ def test_real_text_is_predicted_better_than_by_a_unigram_and_shuffled_text(docs,
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert lm_score.score(empty, lm_score.fit(empty)).count() == 0
+
+
+def test_rounds_learn_from_all_documents(spark, monkeypatch):
+    shares = []
+    monkeypatch.setattr(lm_score, "LEAST", 1)
+    monkeypatch.setattr(lm_score, "_round", lambda texts, model, turn, share: shares.append(share))
+    lm_score.fit(spark.createDataFrame([(i, f"some words {i}") for i in range(200)], "doc_id long, text string"))
+    assert sum(shares) >= 1
