@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import decontam, exact_dedup, langid, packing, simhash
-from palimpsest.llm.common import cleanup, remove, work_dir, written
+from palimpsest.llm.common import cleanup, collected, remove, work_dir, written
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,23 +18,27 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for blanks the longest stays, of those the one with the smallest identifier."""
+    collected(spark)  # also before each further stage
     return exact_dedup.deduplicated(docs, folder=work_dir(spark, "stage-copies"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a similarity of 0.8 or more between their five-word shingles the one with the smallest identifier stays."""
     cleanup(spark, "stage-copies")  # its stage has been written
+    collected(spark)
     return simhash.deduplicated(docs, folder=work_dir(spark, "stage-near-copies"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten-word window of a benchmark item."""
     cleanup(spark, "stage-near-copies")
+    collected(spark)
     return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training windows: the pieces of all documents that are left, with their tokens."""
+    collected(spark)
     pieces = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
     return pieces.select("row.doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
 

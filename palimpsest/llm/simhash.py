@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FILTERED, few, map_texts, remove, settings, trimmed, work_dir, written
+from .common import FILTERED, collected, few, map_texts, remove, settings, trimmed, work_dir, written
 from .components import connected_components
 
 #: Children of a node of a tree.
@@ -463,6 +463,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     wide = T._parse_datatype_string(_WIDE)
     common = spark.sparkContext.broadcast(common_shingles(texts, words, named.count()))
     rows = written(map_texts(texts, "text", lambda: _wide_column(words, similarity, common.value), wide, ["id", "at"]).select("row.*", "out.*"), f"{folder}/prints")
+    collected(spark)
     same = ["prints", "size", "sum"]
     sets = rows.groupBy(*same).agg(F.min("at").alias("node"))
     placed = written(rows.select("at", "id", *same).join(sets, same).select("at", "id", "node", "prints", "size"), f"{folder}/sets")
@@ -475,6 +476,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     near_prints = lambda dealt: index_links(dealt.withColumnRenamed("group", "bucket").join(sets, "node"), radius, similarity)
     proposed = _connected(shared.withColumn("size", F.lit(1)), near_prints, MANY, f"{folder}/proposed")
     remove(spark, f"{folder}/shared")
+    collected(spark)
 
     def near_texts(dealt: DataFrame) -> DataFrame:
         dealt = written(dealt, f"{folder}/asked-{len(asked)}")
@@ -489,6 +491,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     for i in range(len(asked)):
         remove(spark, f"{folder}/asked-{i}")
     remove(spark, f"{folder}/proposed")
+    collected(spark)
 
     placed = placed.join(groups, "node", "left").select("at", "id", F.coalesce("root", "node").alias("root"))
     placed = written(placed, f"{folder}/placed")

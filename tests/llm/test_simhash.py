@@ -1,3 +1,4 @@
+import gc
 import random
 import time
 
@@ -325,6 +326,20 @@ def test_few_rows_move_no_texts_whatever_the_threshold(spark, tmp_path, monkeypa
         assert "BroadcastHashJoin" not in plan()
 
 
+def test_executors_give_their_heap_back_between_steps(spark, monkeypatch):
+    held = spark._jvm.java.util.ArrayList()
+    seen = spark._jvm.java.lang.ref.WeakReference(held)
+    spark._jvm.System.gc()  # from now on only a full collection finds it
+    del held
+    gc.collect()
+    common.collected(spark)
+    assert seen.get() is None
+    steps = []
+    monkeypatch.setattr(simhash, "collected", steps.append)
+    docs = spark.createDataFrame([(1, LONG), (2, LONG), (3, "other")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == [1, 3] and len(steps) == 3
+
+
 def test_connected_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 500)] + [(600, 600), (5, 5)]
