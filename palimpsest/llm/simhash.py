@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,21 @@ CHUNK, HELD = 1 << 16, 500_000
 #: Members of an upper node beyond which it is divided.
 MANY = 20_000
 #: Shingles in one block of a candidate group; what a group of several blocks must compare across them is compared two blocks in a task.
-BLOCK = 100_000
+BLOCK = 500_000
+#: Rows of fingerprints, and shingles of texts, that are dealt to tasks at once at most, and those for each text and shingle of the
+#: input; more are dealt in rounds, each of which leaves links alone, so that the disk which shuffles take grows with the input
+#: where the comparisons of large groups don't.
+ROUND, ROUND_TEXTS = (1 << 26, 32), (1 << 27, 0.25)
 #: Shingles of prefixes that a task sorts together, and those that are dealt to one task.
 FLUSH, DEALT = 1 << 19, 1 << 19
 #: Texts with the same shingles as an earlier one whose numbers every executor gets (16 MB); more of them are joined.
 REPEATED = 1 << 21
 
+#: Further bits, as turns of `remixed`, of the fingerprints that propose groups: with the hashes' own 256 in all. So many leave unlike texts
+#: apart: of 128 bits two random fingerprints are within the radius with a probability of 0.0017, of 256 with 1e-9. Chains of such
+#: links would join most long texts of a large table to one group.
+TURNS = (0, 2, 3)
+
 #: Texts whose shingles say which ones are common, and in how many of them a common one is. Only the order of shingles depends on it.
 ORDER_TEXTS, COMMON = 10_000, 4
 
@@ -417,7 +427,7 @@ def _wide_column(words: int, similarity: float, common: tuple[np.ndarray, np.nda
         prints, sizes, sums, prefixes = [], [], [], [np.zeros(0, np.uint64)]
         for t in texts:
             h = np.unique(shingle_hashes(t.as_py(), words))
-            prints.append([x - (1 << 64) if x >> 63 else x for x in (majority(h), majority(remixed(h, 0)))])
+            prints.append([x - (1 << 64) if x >> 63 else x for x in (majority(h), *(majority(remixed(h, t)) for t in TURNS))])
             sizes.append(len(h))
             sums.append(remixed(h, 1).sum(dtype=np.uint64))
             prefixes.append(prefix(h, common, similarity))
@@ -434,7 +444,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (null last; of rows that tie, exactly one).
 
     An exact prefix filter deals texts to the index's upper nodes, one for each shingle of a prefix, so that linked texts always
-    share one. 128-bit fingerprints in them propose groups at a radius that such links keep within; then every group's shingle
+    share one. 256-bit fingerprints in them propose groups at a radius that such links keep within; then every group's shingle
     sets are compared exactly. `recall` is the least probability that a link at the very threshold is proposed, whatever the number
     of rows; closer texts are proposed more surely, and equal shingle sets always. Texts without words, null among them, are equal.
     `folder` is a work folder on shared storage, which the result reads from.
@@ -449,7 +459,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     folder = folder or work_dir(docs.sparkSession, "near-duplicates")
     named, decided = _decided(docs, id_col, text_col, words, similarity, recall, folder)
     gone = written(decided.where("not kept").select("at"), f"{folder}/gone")
-    for part in ("prints", "sets", "repeated", "compared", "placed"):
+    for part in ("sets", "repeated", "compared", "placed"):
         remove(docs.sparkSession, f"{folder}/{part}")
     return named.join(few(gone), "at", "left_anti").select("row.*")
 
@@ -470,19 +480,34 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     sets = placed.where("at = node").select("node", "prints", "size")
     repeated = written(placed.where("at <> node").select("at"), f"{folder}/repeated")
 
-    shingles = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    texts_in, every, shingles = (x or 0 for x in rows.agg(F.count(F.lit(1)), F.sum("size"), F.sum(F.size("prefix"))).first())
     shared = _shared(rows.select(F.col("at").alias("node"), "prefix"), folder, shingles, repeated)
-    radius = radius_of(similarity, 128, recall)
-    near_prints = lambda dealt: index_links(dealt.withColumnRenamed("group", "bucket").join(sets, "node"), radius, similarity)
+    remove(spark, f"{folder}/prints")  # two fifths of the input, and what follows reads none of it
+    radius = radius_of(similarity, 64 * (1 + len(TURNS)), recall)
+    turns: list[DataFrame] = []
+    rounds = lambda size, most, of: math.ceil(size / max(most[0], most[1] * of))
+
+    def near_prints(dealt: DataFrame) -> DataFrame:
+        turns.append(dealt)
+        links = lambda some: index_links(some.withColumnRenamed("group", "bucket").join(sets, "node"), radius, similarity)
+        return _in_rounds(dealt, links, rounds(dealt.count(), ROUND, texts_in), f"{folder}/near-prints/{len(turns)}")
+
     proposed = _connected(shared.withColumn("size", F.lit(1)), near_prints, MANY, f"{folder}/proposed")
     remove(spark, f"{folder}/shared")
+    remove(spark, f"{folder}/near-prints")
     collected(spark)
 
     def near_texts(dealt: DataFrame) -> DataFrame:
         dealt = written(dealt, f"{folder}/asked-{len(asked)}")
         asked.append(dealt)
-        dealt = few(dealt).where("node >= 0")  # which holds for all; Spark makes Bloom filters of conditions
-        return _verified(dealt.join(texts.select(F.col("at").alias("node"), "text"), "node"), words, similarity)
+        size = few(dealt).join(sets, "node").agg(F.sum("size")).first()[0] or 0
+        whole = texts.select(F.col("at").alias("node"), "text")
+
+        def links(some: DataFrame) -> DataFrame:
+            some = few(some).where("node >= 0")  # which holds for all; Spark makes Bloom filters of conditions
+            return _verified(some.join(whole, "node"), words, similarity)
+
+        return _in_rounds(dealt, links, rounds(size, ROUND_TEXTS, every), f"{folder}/near-texts/{len(asked)}")
 
     asked: list[DataFrame] = []
     members = proposed.join(sets.select("node", "size"), "node").select(F.col("root").alias("group"), "node", "size")
@@ -490,6 +515,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
         groups = _connected(members, near_texts, BLOCK, f"{folder}/compared")
     for i in range(len(asked)):
         remove(spark, f"{folder}/asked-{i}")
+    remove(spark, f"{folder}/near-texts")
     remove(spark, f"{folder}/proposed")
     collected(spark)
 
@@ -627,6 +653,14 @@ def _connected(members: DataFrame, links: Callable[[DataFrame], DataFrame], limi
     return every
 
 
+def _in_rounds(dealt: DataFrame, links: Callable[[DataFrame], DataFrame], rounds: int, folder: str) -> DataFrame:
+    """What `links` finds in `dealt` (group, node), whose groups are dealt in so many rounds; the links of each are written to `folder`."""
+    if rounds <= 1:
+        return links(dealt)
+    of = F.pmod(F.xxhash64("group", F.lit("round")), F.lit(rounds))
+    return reduce(DataFrame.unionByName, [written(links(dealt.where(of == i)), f"{folder}/{i}") for i in range(rounds)])
+
+
 def _verified(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b) that connect the rows of each group (node, text, group) whose shingle sets are similar enough, compared exactly."""
 

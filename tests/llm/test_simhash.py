@@ -1,4 +1,5 @@
 import gc
+import math
 import random
 import time
 
@@ -284,6 +285,33 @@ def test_large_groups_are_compared_block_by_block(spark, monkeypatch):
     assert sorted((r.id, r.keep_id) for r in rows) == list(enumerate(want))
 
 
+def test_what_many_comparisons_need_is_dealt_in_rounds(spark, monkeypatch):
+    """No more rows and shingles are dealt at once than the limits say, and the groups are the same."""
+    texts = _edited(6, 50, LONG)
+    sets = [set(shingles(t, 5)) for t in texts]
+    monkeypatch.setattr(simhash, "BLOCK", max(map(len, sets)) + 1)
+    want = components(len(texts), lambda i, j: _jaccard(sets[i], sets[j]) >= 0.8)
+    dealt, verified, linked = [], simhash._verified, simhash.index_links
+    monkeypatch.setattr(simhash, "_verified", lambda rows, *more: dealt.append(("texts", rows.count())) or verified(rows, *more))
+    monkeypatch.setattr(simhash, "index_links", lambda rows, *more: dealt.append(("prints", rows.count())) or linked(rows, *more))
+    for limits in ((1 << 26, 32), (1 << 27, 0.25)), ((100, 0), (20 * max(map(len, sets)), 0)):
+        monkeypatch.setattr(simhash, "ROUND", limits[0], raising=False)
+        monkeypatch.setattr(simhash, "ROUND_TEXTS", limits[1], raising=False)
+        dealt.clear()
+        rows = simhash.near_duplicates(awkward(spark, texts), recall=0.9999).collect()
+        assert sorted((r.id, r.keep_id) for r in rows) == list(enumerate(want))
+        made = {k: [n for x, n in dealt if x == k] for k in ("texts", "prints")}
+        if limits[0][0] > 100:
+            most = {k: max(x) for k, x in made.items()}
+    assert all(max(made[k]) < most[k] / 2 for k in made)
+
+
+def test_unlike_texts_are_hardly_ever_within_the_radius():
+    bits = 64 * (1 + len(simhash.TURNS))
+    radius = simhash.radius_of(0.8, bits, 0.999999)
+    assert sum(math.comb(bits, d) for d in range(radius + 1)) / 2**bits < 1e-8
+
+
 @pytest.mark.parametrize("limit", [700, 1500, 10**6])
 def test_a_group_that_only_chains_hold_together(spark, tmp_path, limit):
     words = [f"w{i}" for i in range(420)]
