@@ -206,10 +206,8 @@ def manifest_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = versions(spark, sf_dir).select(F.floor((F.col("ts") - 1) / 1000).alias("id")).distinct()
     ids = sorted(r.id for r in runs.collect())  # a row for each run of 1,000 events
     record = lambda i: {"id": i, "low": "61", "high": "62", "path": f"{i}"}
-    for i in ids:
-        log.append({"type": "NewMemtable", "id": i})
-    for i in [i for i in ids if i < 8]:
-        log.append({"type": "Flush", "memtable": i, "ts": i, "runs": [record(i)]})
+    log.append_all({"type": "NewMemtable", "id": i} for i in ids)
+    log.append_all({"type": "Flush", "memtable": i, "ts": i, "runs": [record(i)]} for i in ids if i < 8)
     away = [i for i in ids if i < 5]
     log.append({"type": "Compaction", "tasks": [{"source_level": 0, "source_ids": away, "destination_level": 1, "destination_ids": [], "made": []}]})
     state = fold(CommitLog(log.files).records(), 2)
