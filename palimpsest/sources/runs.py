@@ -13,6 +13,9 @@ from ..functions.keys import UNBOUNDED, VERSIONS, Bound, is_tombstone, overlaps
 from ..plans.compaction import Run
 from .files import Files
 
+#: A Bloom filter of each run's keys, as large as they need; otherwise one takes 1 MB in every file.
+BLOOM = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
 
 def write_runs(versions: DataFrame, files: Files, first_id: int, parts: int = 1, folder: str = "runs") -> list[Run]:
     """Write versions as `parts` runs at most: range-partitioned by key, so that a key's versions share a run, and sorted. One row
@@ -21,7 +24,7 @@ def write_runs(versions: DataFrame, files: Files, first_id: int, parts: int = 1,
     rows = versions.select(F.col("key").cast("binary"), F.col("ts").cast("long"), F.col("value").cast("binary"))
     dealt = rows.repartitionByRange(parts, "key") if parts > 1 else rows.coalesce(1)
     path = files.address(name)
-    dealt.sortWithinPartitions("key", F.desc("ts")).write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+    dealt.sortWithinPartitions("key", F.desc("ts")).write.mode("overwrite").options(**BLOOM).parquet(path)
     stats = (
         spark.read.schema(VERSIONS).parquet(path).withColumn("file", F.col("_metadata.file_path")).groupBy("file")
         .agg(F.min("key").alias("low"), F.max("key").alias("high"), F.sum(F.length("key") + F.length("value")).alias("size"), F.max("ts").alias("max_ts"), F.count(F.lit(1)).alias("n"), F.count_if(is_tombstone(F.col("value"))).alias("dead"))
