@@ -141,6 +141,15 @@ def test_overlapping_ranges_as_by_brute_force(spark):
         assert sorted(map(tuple, got.select("src", "dst").collect())) == sorted((i, j) for i, x, y in a for j, u, v in b if x <= v and u <= y)
 
 
+def test_overlaps_of_one_slot_are_shared_among_tasks(spark):
+    rng = random.Random(6)
+    a, b = ([(i, lo, lo + rng.randrange(90)) for i in range(n) for lo in [rng.randrange(100)]] for n in (80, 20))
+    tables = spark.createDataFrame(a, "src long, lo long, hi long"), spark.createDataFrame(b, "dst long, lo long, hi long")
+    got = R.overlapping(*tables, lambda k: F.lit(0).cast("long"), shares=8)
+    assert sorted(map(tuple, got.select("src", "dst").collect())) == sorted((i, j) for i, x, y in a for j, u, v in b if x <= v and u <= y)
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_running_size_and_split(spark):
     rng = random.Random(4)
     data = [(f"{rng.randrange(40):03d}".encode() if i % 3 else b"hot", i, b"v" * rng.randrange(9)) for i in range(300)]
